@@ -31,7 +31,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -59,10 +59,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = np.array([fingerprint(x or b"") for x in b.column("_bytes").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and fp, the fingerprint as a signed integer."""
+    common.arrow_limits(docs.sparkSession)
+    texts = docs.select(*keep, common.utf8("text").alias("_bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(x or b"") for x in b.column("_bytes").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fp)], names=[*keep, "fp"])
+
+    return texts.mapInArrow(run, docs.select(*keep, F.lit(0).cast("long").alias("fp")).schema)
 
 
 class Tree:
@@ -186,17 +193,18 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def hexed(fp) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id, class): class is the same for all rows of a component."""
-    common.arrow_limits(docs.sparkSession)
-    marked = docs.select("doc_id", common.utf8("text").alias("_bytes")).mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
-    marked = common.save(marked, "fingerprints")
+    marked = common.save(fingerprints(docs, ["doc_id"]), "fingerprints")
     nodes = common.save(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = common.save(components(links(nodes.select("fp"))), "roots")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
     named = common.save(rooted.join(ids, "root").select("fp", "root", "component_id"), "components")
-    hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return marked.join(named, "fp").select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("class"))
 
 
