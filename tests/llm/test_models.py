@@ -67,3 +67,59 @@ def test_toxicity(spark, odd):
     none = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0"))
     assert none is None and toxicity.score(odd, none).agg(F.max("score")).first()[0] == 0
     assert toxicity.score(odd.limit(0), field).count() == 0
+
+
+def test_backpropagation_matches_differences():
+    from loomlint.llm import langid
+
+    rng = np.random.default_rng(3)
+    k, c, n, span = 3, 2, 4, 6
+    unit = lambda: langid.Unit(rng.normal(0, 0.5, (256, 3 * k)), rng.normal(0, 0.5, (k, 3 * k)))
+    model = langid.Model(["a", "b"], unit(), unit(), rng.normal(size=(2 * k, c)), np.zeros(c))
+    x = rng.integers(0, 5, (span, n)).astype(np.uint8)
+    mask = (np.arange(span)[:, None] < np.array([6, 4, 2, 6])[None, :]).astype(np.float32)
+    want = rng.normal(size=(span, n, k))
+
+    def value():
+        return float((model.ahead.states(x, mask) * want).sum())
+
+    keep = []
+    model.ahead.states(x, mask, keep)
+    d_table, d_recur = model.ahead.gradients(x, mask, keep, want)
+    for p, g in ((model.ahead.recur, d_recur), (model.ahead.table, d_table)):
+        for at in [(0, 0), (1, 4), (2, 8), (2, 1)]:
+            old = p[at]
+            p[at] = old + 1e-3
+            up = value()
+            p[at] = old - 1e-3
+            down = value()
+            p[at] = old
+            assert abs((up - down) / 2e-3 - g[at]) < 1e-2 * max(1, abs(g[at]))
+
+
+def test_langid(spark, odd):
+    from loomlint.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    x = langid.op4_langid(spark, SF)
+    assert x.count() == 1000 and x.where("score between 0 and 1").count() == 1000
+    held = x.join(docs, "doc_id").where("held_out")
+    assert held.where("lang = lang_pred").count() >= 0.97 * held.count()
+    model = langid.train(langid.sample(docs))
+    y = langid.predict(odd, model)
+    rows = [(r["text"], r["lang_pred"], r["score"]) for r in y.collect()]
+    assert len(rows) == odd.count()
+    for text, lang, score in rows:
+        und = not any(c.isalpha() for c in text or "")
+        assert (lang == "und") == und and (score == 0) == und
+    assert langid.sample(docs.limit(0)) == [] and langid.train([]) is None
+    assert langid.predict(odd, None).where("lang_pred <> 'und'").count() == 0
+
+
+def test_windows_cover_whole_texts():
+    from loomlint.llm import langid
+
+    texts = [b"abc", b"x" * 300, b"y" * 128]
+    x, mask, of = langid.windows(texts, 128)
+    for i, t in enumerate(texts):
+        assert b"".join(x[:, j][mask[:, j] > 0].tobytes() for j in np.nonzero(of == i)[0]) == t
