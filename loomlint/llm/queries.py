@@ -71,4 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": OP3_SQL}
+    from .license import oracle
+
+    return {"op3_mix": OP3_SQL, "op8_license": oracle()}
