@@ -1,0 +1,21 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write and read back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlint-"))
+        found = sc._jsc.sc().getCheckpointDir()
+    path = f"{found.get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
