@@ -639,3 +639,19 @@ def package_name(t):
 def union_distinct(t):
     part = lambda d, c, k: d.select(F.col(c).alias("name"), F.lit(k).alias("kind")).distinct()
     return part(t.documents, "source", "source").unionByName(part(t.documents, "lang", "lang")).unionByName(part(t.conversations, "role", "role"))
+
+
+@query("q_code_corpus_scan")
+def code_corpus_scan(t):
+    from . import corpus, scan
+
+    files = t.spark.createDataFrame(corpus.FILES, "file string, language string, content string")
+    return scan.scan(files)["issues"]
+
+
+@query("q_code_corpus_score")
+def code_corpus_score(t):
+    from . import corpus, scan
+
+    files = t.spark.createDataFrame(corpus.FILES, "file string, language string, content string")
+    return scan.scan(files)["file_scores"]
