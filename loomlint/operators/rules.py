@@ -36,17 +36,30 @@ def _joined(lines: Column, i: Column, before: int, after: int) -> Column:
     return F.array_join(F.slice(lines, start + 1, i - start + 1 + after), "\n")
 
 
-def hits(lines: Column, rules: list[Rule], language: Column | None = None) -> Column:
-    """[(line, rule)] of a text's lines (0-based) by rules in order."""
+def may_match(text: Column, rule: Rule) -> Column:
+    """Whether a rule can match any line of a text; true where that can't be told from the whole.
+
+    A line that matches makes the whole text match, with anchors at line ends,
+    unless the pattern looks around: what it sees past the line differs.
+    """
+    if any(x in rule.pattern for x in ("(?=", "(?!", "(?<")):
+        return F.lit(True)
+    return text.rlike("(?m)" + rule.pattern)
+
+
+def hits(lines: Column, rules: list[Rule], language: Column | None = None, possible: list[Column] | None = None) -> Column:
+    """[(line, rule)] of a text's lines (0-based) by rules in order; ``possible``: of each rule, whether it can match."""
 
     def at(line: Column, i: Column) -> Column:
         comment = C.is_comment(line)
         found = []
-        for r in rules:
+        for n, r in enumerate(rules):
             text = _joined(lines, i, 0, r.window) if r.window else line
             ok = text.rlike(r.pattern)
             if r.languages and language is not None:
                 ok = language.isin(*r.languages) & ok
+            if possible is not None:
+                ok = possible[n] & ok
             if r.where == "code":
                 ok = ~comment & ok
             scope = _joined(lines, i, *r.around) if any(r.around) else line
@@ -60,10 +73,13 @@ def hits(lines: Column, rules: list[Rule], language: Column | None = None) -> Co
 
 def scan(docs: DataFrame, rules: list[Rule], key: list[str], text: str = "text", language: str | None = None) -> DataFrame:
     """One row per (text, line, rule) that matches: key, line_no (1-based), rule_id, severity, category, confidence, line_text."""
-    groups = [rules[i : i + 20] for i in range(0, len(rules), 20)]
-    # an alternation of all patterns without context passes over texts that no rule can match
-    x = docs.withColumn("_lines", C.lines(F.col(text)))
-    found = F.concat(*[hits(F.col("_lines"), g, F.col(language) if language else None) for g in groups])
+    # rules are tried on whole texts first; only texts and rules that match are looked at by line
+    lang = F.col(language) if language else None
+    of = lambda r: lang.isin(*r.languages) & may_match(F.col(text), r) if language and r.languages else may_match(F.col(text), r)
+    x = docs.select(*key, F.col(text).alias("_text"), *([language] if language and language not in key else []), F.array(*[of(r) for r in rules]).alias("_m"))
+    x = x.where(F.array_contains("_m", True)).withColumn("_lines", C.lines(F.col("_text")))
+    groups = [(i, rules[i : i + 20]) for i in range(0, len(rules), 20)]
+    found = F.concat(*[hits(F.col("_lines"), g, lang, [F.get("_m", F.lit(i + n)) for n in range(len(g))]) for i, g in groups])
     x = x.select(*key, "_lines", F.explode(found).alias("_h"))
     by = {r.id: r for r in rules}
     look = lambda attr, default: C.literal_map({k: getattr(r, attr) for k, r in by.items()}, F.col("_h.rule"), default)

@@ -24,8 +24,9 @@ def idf(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def vocabulary(docs: DataFrame, key: str, size: int = 512, text: str = "text") -> DataFrame:
     """The ``size`` tokens of highest idf; ties by where they are first seen (key, then place)."""
-    seen = docs.select(key, F.posexplode(C.tokens(F.col(text))).alias("pos", "token"))
-    first = seen.groupBy("token").agg(F.min(F.struct(key, "pos")).alias("first"), F.countDistinct(key).alias("df"))
+    # places in the array of distinct tokens keep the order in which tokens are first seen
+    seen = docs.select(key, F.posexplode(F.array_distinct(C.tokens(F.col(text)))).alias("pos", "token"))
+    first = seen.groupBy("token").agg(F.min(F.struct(key, "pos")).alias("first"), F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("_docs"))
     x = first.crossJoin(F.broadcast(n)).withColumn("idf", F.log((F.col("_docs") + 1) / (F.col("df") + 1)) + 1)  # one row
     return x.orderBy(F.col("df"), "first").limit(size).select("token", "df", "idf")
