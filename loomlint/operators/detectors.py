@@ -23,8 +23,10 @@ def issue(df: DataFrame, detector: str, rule, severity, category: str, confidenc
 def line_rules(units: DataFrame, catalog: dict, category: dict) -> DataFrame:
     """Line rules of all catalogs on every unit: a line is reported once for each unit that holds it."""
     out = None
+    in_main = F.col("source").rlike(r"package\s+main\b")
     for detector, rs in catalog.items():
-        x = rules.scan(units.select("file", "language", "start_line", "source"), rs, ["file", "start_line", "language"], "source", "language")
+        x = rules.scan(units.select("file", "language", "start_line", "source", in_main.alias("in_main")), rs, ["file", "start_line", "language", "in_main"], "source", "language")
+        x = x.where(~(F.col("in_main") & (F.col("rule_id") == "go-panic-in-library")))
         x = issue(x, detector, F.col("rule_id"), F.col("severity"), category[detector], F.col("confidence"), F.col("start_line") + F.col("line_no"), F.trim(F.substring("line_text", 1, 100)))
         out = x if out is None else out.unionByName(x)
     return out
@@ -200,6 +202,42 @@ def throw_only(units: DataFrame) -> DataFrame:
     return issue(x, "incomplete-implementation", "throw-only-function", F.when(stub, "error").otherwise("warning"), "implementation", F.when(stub, 0.95).otherwise(0.7), F.col("start_line") + 1, F.col("name"))
 
 
+# Name endings of design patterns; calls of the standard library that return an error.
+SUFFIXES = (
+    "Factory Builder Provider Manager Handler Processor Resolver Strategy Adapter Decorator Observer Singleton Facade "
+    "Controller Service Repository Middleware Dispatcher Supervisor Coordinator Registry Wrapper Helper Util Utility Engine"
+).split()
+FALLIBLE = r"\b(?:os\.(?:Open|Create|ReadFile|WriteFile|MkdirAll|Remove)|net\.(?:Dial|Listen)|http\.(?:Get|Post)|json\.(?:Marshal|Unmarshal)|exec\.Command|ioutil\.\w+)\s*\("
+
+
+def pattern_names(units: DataFrame, most_lines: int = 25, most_methods: int = 2) -> DataFrame:
+    """Small classes named after a design pattern."""
+    methods = units.where("kind = 'method'").groupBy("file", F.col("parent").alias("name")).agg(F.count("*").alias("n"))
+    x = units.where((F.col("kind") == "class") & F.col("name").rlike(f"(?:{'|'.join(SUFFIXES)})$")).join(methods, ["file", "name"], "left")
+    return issue(x.where((F.col("loc") <= most_lines) & (F.coalesce("n", F.lit(0)) <= most_methods)), "over-engineering", "pattern-name-abuse", "info", "implementation", 0.6, F.col("start_line") + 1, F.col("name"))
+
+
+def generic_nesting(units: DataFrame, most: int = 3) -> DataFrame:
+    """Lines whose type arguments nest deeper than ``most``; arrows and comparisons with spaces don't count."""
+    x = units.where("kind = 'file' and language in ('typescript', 'javascript')").select("file", F.posexplode(C.lines(F.col("source"))).alias("line", "text"))
+    deep = r"\w<[^<>();]*" * (most + 1)
+    return issue(x.where(F.col("text").rlike(deep)), "over-engineering", "deep-generic-nesting", "info", "implementation", 0.6, F.col("line") + 1, F.trim(F.substring("text", 1, 120)))
+
+
+def unhandled_errors(units: DataFrame) -> DataFrame:
+    """Go calls that return an error which nothing on the line takes."""
+    x = units.where("language = 'go'").select("file", "start_line", F.posexplode(C.lines(F.col("source"))).alias("i", "text"))
+    t = F.trim("text")
+    x = x.where(t.rlike(FALLIBLE) & ~t.rlike(r"^(?://|/\*|\*)|\berr\b|:=\s*_\s*,|^if\s") & ~t.rlike(r"return\s+.*(?:os|net|http|json|exec|ioutil)\."))
+    return issue(x, "go-language-specific", "unhandled-error-return", "warning", "implementation", 0.7, F.col("start_line") + F.col("i") + 1, F.substring(F.trim("text"), 1, 100))
+
+
+def many_bangs(units: DataFrame, least: int = 3) -> DataFrame:
+    """Kotlin units with several non-null assertions, at the first."""
+    x = units.where("language = 'kotlin'").withColumn("_n", F.regexp_count("source", F.lit("!!"))).where(F.col("_n") >= least)
+    return issue(x, "kotlin-language-specific", "excessive-bang-bang", "warning", "implementation", 0.8, F.col("start_line") + C.line_of(F.col("source"), F.instr("source", "!!") - 1) + 1, F.col("_n").cast("string"))
+
+
 TEST = r"(?m)^\s*(?:it|test|describe)\s*[(.]|^\s*def\s+test_|@Test\b|func\s+Test\w"
 ASSERTED = r"\b(?:expect|assert\w*|should|verify|fail|t\.(?:Error|Errorf|Fatal|Fatalf|Fail)|require\.\w+|rejects|toThrow|pytest\.raises)\b"
 TRIVIAL = r"expect\(\s*(true|1|'[^']*')\s*\)\.(?:toBe|toEqual)\(\s*\1\s*\)|assert(?:True)?\s*\(?\s*[Tt]rue\s*\)?\s*;?\s*$|assertEquals?\(\s*(\d+)\s*,\s*\2\s*\)"
@@ -208,6 +246,7 @@ TRIVIAL = r"expect\(\s*(true|1|'[^']*')\s*\)\.(?:toBe|toEqual)\(\s*\1\s*\)|asser
 def test_rules(units: DataFrame) -> DataFrame:
     """Tests without assertion, trivially true, that swallow errors, or named twice."""
     name = r"(?i)^(?:test_|test$|it$|should_|when_|describe$)"
+    bare = F.filter(F.transform(C.lines(F.col("source")), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^(?://|#|\*|it|test|describe|\}\);?|def\s|@Test|func\s+Test|with\s)"))
     t = units.where("kind in ('function', 'method', 'file')").where(F.col("name").rlike(name) | F.col("source").rlike(TEST))
     empty = issue(t.where(~F.col("source").rlike(ASSERTED)), "test-antipattern", "empty-test-body", "error", "context-coherence", 0.9, F.col("start_line") + 1, F.col("name"), F.col("end_line") + 1)
     at = F.regexp_instr("source", F.lit(f"(?m){TRIVIAL}"))
@@ -215,11 +254,13 @@ def test_rules(units: DataFrame) -> DataFrame:
     trivial = issue(trivial, "test-antipattern", "trivially-true", "warning", "context-coherence", 0.85, F.col("start_line") + C.line_of(F.col("source"), F.col("_at")) + 2, F.col("name"))
     swallow = t.where(F.col("source").rlike(r"(?s)try\s*\{[^}]*\}\s*catch\s*\([^)]*\)\s*\{(?:(?!expect|assert|fail|throw|rejects).)*?\}"))
     swallow = issue(swallow, "test-antipattern", "swallowing-try-catch", "warning", "context-coherence", 0.75, F.col("start_line") + 1, F.col("name"))
+    only = t.where(F.col("source").rlike(r"(?m)\.not\.toThrow\(\s*\)\s*;?\s*$|^\s*(?:with\s+)?self\.assert(?:Not)?Raises?\(\s*(?:Exception|Error)|^\s*assert(?:DoesNotThrow|NotThrows)\s*\(") & (F.size(bare) <= 1))
+    only = issue(only, "test-antipattern", "no-throw-only", "info", "context-coherence", 0.6, F.col("start_line") + 1, F.col("name"), F.col("end_line") + 1)
     titles = units.where("kind = 'file'").select("file", F.posexplode(C.lines(F.col("source"))).alias("line", "text"))
     titles = titles.select("file", "line", F.regexp_extract("text", r"\b(?:it|test)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 1).alias("title")).where("title <> ''")
     again = titles.withColumn("_r", F.row_number().over(Window.partitionBy("file", "title").orderBy("line"))).where("_r > 1")
     again = issue(again, "test-antipattern", "duplicate-description", "warning", "context-coherence", 0.8, F.col("line") + 1, F.col("title"))
-    return empty.unionByName(trivial).unionByName(swallow).unionByName(again)
+    return empty.unionByName(trivial).unionByName(swallow).unionByName(only).unionByName(again)
 
 
 KEYWORDS = {"throw": r"(?i)\b(?:toThrow|throws?|assertThrows|rejects)", "reject": r"(?i)\breject", "error": r"(?i)\b(?:toThrow|throws?|rejects|error)", "empty": r"(?i)toHaveLength\(0\)|length\s*===?\s*0|toEqual\(\s*\[\s*\]\)|toBeEmpty", "null": r"(?i)toBeNull|\(null\)|assertNull", "undefined": r"(?i)toBeUndefined|\(undefined\)"}

@@ -34,6 +34,8 @@ export interface DotParams { size: number; }
 export abstract class Animal { abstract go(): void; }
 export class Dog extends Animal { go() { return many(1); } }
 const c = Color.Blue;
+const m: Map<string, Array<Promise<Set<number>>>> = x;
+export class UserHandler { run() { return 1; } }
 """),
     ("src/user.ts", "typescript", """export interface User {
   id: string;
@@ -71,6 +73,7 @@ import "io/ioutil"
 func Read(p string) []byte {
 	b, _ := ioutil.ReadFile(p)
 	panic("todo")
+	os.Remove(p)
 }
 """),
     ("java/A.java", "java", """import java.util.Vector;
@@ -84,7 +87,7 @@ public class A {
 """),
     ("kt/A.kt", "kotlin", """import com.ghost.Thing
 class A {
-  fun run(x: String?) { println(x!!.length) }
+  fun run(x: String?) { println(x!!.length + x!!.length + x!!.length) }
 }
 """),
 ]

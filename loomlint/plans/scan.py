@@ -34,7 +34,8 @@ def issues(units: DataFrame, registry: DataFrame | None = None, dependencies: Da
         detectors.hallucinated_imports(units, builtins(spark), registry, dependencies), detectors.deprecated_modules(units, table),
         detectors.unused_definitions(units), detectors.inconsistent_imports(units), detectors.duplicate_functions(units), detectors.signature_mismatches(units),
         detectors.type_mismatches(units), detectors.enum_members(units), detectors.over_engineering(units), detectors.excessive_abstraction(units),
-        detectors.single_implementations(units), detectors.config_depth(units), detectors.decorator_chains(units), detectors.generics(units),
+        detectors.single_implementations(units), detectors.config_depth(units), detectors.decorator_chains(units), detectors.generics(units), detectors.generic_nesting(units), detectors.pattern_names(units),
+        detectors.unhandled_errors(units), detectors.many_bangs(units),
         detectors.line_rules(units, rule_catalog.V4_CATALOG, rule_catalog.CATEGORY), detectors.invisible_characters(units),
         detectors.empty_bodies(units), detectors.throw_only(units), detectors.test_rules(units), detectors.description_mismatches(units),
         *[f(units) for f in extra],

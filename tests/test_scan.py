@@ -15,6 +15,7 @@ EXPECTED = [
     ("py/main.py", "eval-usage-python", 7), ("py/main.py", "python-raise-not-implemented", 12), ("py/main.py", "empty-test-body", 14),
     ("go/main.go", "deprecated-module", 2), ("go/main.go", "go-ioutil-readfile", 4), ("go/main.go", "go-panic-not-implemented", 5),
     ("java/A.java", "java-empty-catch", 5), ("java/A.java", "java-system-out-println", 6), ("java/A.java", "potential-hallucination-offline", 2), ("kt/A.kt", "kotlin-bang-bang-chain", 3),
+    ("kt/A.kt", "excessive-bang-bang", 3), ("go/main.go", "unhandled-error-return", 6), ("src/types.ts", "deep-generic-nesting", 13), ("src/types.ts", "pattern-name-abuse", 14),
 ]
 
 
