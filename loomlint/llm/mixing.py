@@ -122,20 +122,21 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS,
         docs.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long"))
         .withColumn("_key", order_key(F.col("doc_id")))
         .withColumn("_deal", F.substring("_key", 1, DEAL_DIGITS))
+        .withColumn("_name", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
     )
     # words of each cell (source, leading digits of the order key): counts, not rows, are ordered globally
-    cells = common.save(keyed.groupBy("source", "_deal").agg(F.sum("size").alias("cell_size")), "mix-cells")
+    cells = common.save(keyed.groupBy("source", "_name", "_deal").agg(F.sum("size").alias("cell_size")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     targets = common.save(source_targets(sources, share, cap, weights), "mix-targets")
     want = targets.agg(F.sum("target").alias("want"))
     block = F.greatest(F.lit(1), F.ceil(F.col("want") / slots).cast("long"))
     blocks = common.save(schedule(targets.crossJoin(F.broadcast(want)), block, slots), "mix-blocks")
 
-    ahead = Window.partitionBy("source").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(F.col("source").alias("_s"), F.col("_deal").alias("_d"), F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("source", "_deal").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn("_end", F.sum("size").over(within))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_deal") == F.col("_d")), "left").drop("_s", "_d")
+    # the window and the join share one partitioning by cell, so whole rows move once
+    ahead = Window.partitionBy("_name").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("_name", "_deal", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("_name", "_deal").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.withColumn("_end", F.sum("size").over(within)).join(offsets, ["_name", "_deal"])
     placed = placed.withColumn("_end", F.col("_end") + F.col("_offset")).withColumn("_start", F.col("_end") - F.col("size"))
 
     size = want.select(F.greatest(F.lit(1), F.ceil(F.col("want") / slots).cast("long")).alias("_block"))
