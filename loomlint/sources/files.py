@@ -30,9 +30,9 @@ def select_files(files: DataFrame, exclude_dirs=tuple(tables.EXCLUDED_DIRS)) ->
 def include_exclude(files: DataFrame, include: list[str], exclude: list[str], strict: bool = False) -> DataFrame:
     """Keep files by ``**/*.ext`` includes and excludes.
 
-    As the reference does it, an exclude only drops a file whose name it holds
-    as text, or whose extension a ``**/*`` pattern ends with; ``strict``
-    reads excludes as globs.
+    By default an exclude only drops a file whose name it holds as text, or
+    whose extension a ``**/*`` pattern ends with; ``strict`` reads excludes
+    as globs.
     """
     name = F.element_at(F.split("file", "/"), -1)
     ext = F.regexp_extract(name, r"(\.[^.]+)$", 1)
