@@ -32,7 +32,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -160,22 +159,63 @@ def _distinct(docs: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], in
     return out
 
 
-def seeds(docs: list[tuple[list[bytes], int]]) -> set[bytes]:
-    """Seed forms; toxic documents without any are looked at again by themselves, until they give no more."""
-    has = [({f for w in set(words) for f in forms(w)}, y) for words, y in docs]
-    clean = Counter(f for x, y in has if not y for f in x)
-    left, quiet, least, out = [x for x, y in has if y], sum(not y for _, y in has), SEED_LLR, set()
+class Lexicon:
+    """Numbers of the distinct words of some documents, and of their forms."""
+
+    def __init__(self, docs: list[list[bytes]]):
+        self.words: dict[bytes, int] = {}
+        self.docs = [np.fromiter((self.words.setdefault(w, len(self.words)) for w in words), np.int32, len(words)) for words in docs]
+        names: dict[bytes, int] = {}
+        of = [[names.setdefault(f, len(names)) for f in forms(w)] for w in self.words]
+        self.names = list(names)
+        self.size = np.array([len(x) for x in of], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.form = np.fromiter((f for x in of for f in x), np.int32, int(self.size.sum()))
+
+    def forms_of(self, words: np.ndarray) -> np.ndarray:
+        """Distinct forms of words by number."""
+        n = self.size[words]
+        return np.unique(self.form[np.repeat(self.start[words] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+
+
+def seeds(lexicon: Lexicon, labels: list[int]) -> np.ndarray:
+    """Whether each form is a seed; toxic documents without any are looked at again by themselves, until they give no more."""
+    sets = [lexicon.forms_of(np.unique(d)) for d in lexicon.docs]
+    n_forms = len(lexicon.names)
+    count = lambda some: np.bincount(np.concatenate(some), minlength=n_forms) if some else np.zeros(n_forms, np.int64)
+    clean = count([x for x, y in zip(sets, labels, strict=True) if not y])
+    left, quiet = [x for x, y in zip(sets, labels, strict=True) if y], labels.count(0)
+    found, least = np.zeros(n_forms, bool), SEED_LLR
     while left:
-        share, new = len(left) / (len(left) + quiet), set()
-        for f, k in Counter(f for x in left for f in x).items():
-            r = k / (k + clean[f])
-            if r >= SEED_SHARE and k * np.log(r / share) + (clean[f] * np.log((1 - r) / (1 - share)) if r < 1 else 0) >= least:
-                new.add(f)
-        if not new:
+        share, k = len(left) / (len(left) + quiet), count(left)
+        r = k / np.maximum(1, k + clean)
+        llr = k * np.log(np.maximum(r, 1e-9) / share) + clean * np.log(np.maximum(1 - r, 1e-9) / (1 - share))
+        new = (k > 0) & (r >= SEED_SHARE) & (llr >= least)
+        if not new.any():
             break
-        out |= new
-        left, least = [x for x in left if x.isdisjoint(new)], LATER_LLR
-    return out
+        found |= new
+        left, least = [x for x in left if not new[x].any()], LATER_LLR
+    return found
+
+
+def _parts(sizes: np.ndarray, most: int = 200_000) -> list[slice]:
+    """Stretches of whole documents of about ``most`` words."""
+    ends = np.cumsum(sizes)
+    cut = [0, *[int(ends[i]) for i in range(len(ends)) if i + 1 == len(ends) or ends[i] // most != ends[i + 1] // most]]
+    return [slice(a, b) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def _gradient(field: Field, s: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Gradients of the log-likelihood: by word, by transition, of the start."""
+    ahead, after = field.chains(s, first)
+    p = ahead * after
+    p /= 1 + p
+    before = np.nonzero(~first[1:])[0]
+    A = np.exp(field.trans)
+    r, b, e = ahead[before], after[before + 1], np.exp(np.clip(s[before + 1], -30, 30))
+    xi = np.stack([np.full(len(r), A[0, 0]), A[0, 1] * e * b, A[1, 0] * r, A[1, 1] * r * e * b])
+    seen = np.bincount((2 * y[before] + y[before + 1]).astype(int), minlength=4)
+    return y - p, seen - (xi / xi.sum(0)).sum(1), float((y - p)[first].sum())
 
 
 def train(sample: list[tuple[bytes, int]]) -> Field | None:
@@ -184,45 +224,42 @@ def train(sample: list[tuple[bytes, int]]) -> Field | None:
     unlike = _distinct(docs)
     if len({y for _, y in unlike}) < 2:
         return None
-    found = seeds(unlike)
-    ids: dict[bytes, int] = {}
-    flat = np.array([ids.setdefault(w, len(ids)) for words, _ in unlike for w in words])
-    sizes = np.array([len(w) for w, _ in unlike])
+    lexicon = Lexicon([w for w, _ in unlike])
+    found = seeds(lexicon, [y for _, y in unlike])
+    ids, flat = lexicon.words, np.concatenate(lexicon.docs)
+    sizes, labels = np.array([len(w) for w, _ in unlike]), np.array([y for _, y in unlike])
+    del docs, unlike
     first = np.zeros(len(flat), bool)
     first[np.cumsum(sizes) - sizes] = True
-    of_toxic = np.repeat(np.array([y for _, y in unlike]), sizes)
-    seeded = np.array([not found.isdisjoint(forms(w)) for w in ids])
+    of_toxic = np.repeat(labels, sizes)
+    seeded = np.add.reduceat(found[lexicon.form], lexicon.start) > 0
     y = (seeded[flat] & (of_toxic == 1)).astype(float)
-    slots = [_slots(w) for w in ids]
-    word_at, slot_at = np.repeat(np.arange(len(ids)), [len(x) for x in slots]), np.array([s for x in slots for s in x])
-    used, slot_at = np.unique(slot_at, return_inverse=True)
+    word_at = np.repeat(np.arange(len(ids), dtype=np.int32), lexicon.size)
+    slots = np.fromiter((crc32(f) % FORMS for f in lexicon.names), np.int32, len(lexicon.names))
+    used, slot_at = np.unique(slots[lexicon.form], return_inverse=True)
     params = np.zeros(len(used) + 6)  # weights, bias, transitions, start
     m, v = np.zeros_like(params), np.zeros_like(params)
     params[len(used)] = -3.0
-    last = ~first
-    last[0] = False
-    before = np.nonzero(last)[0] - 1
     field = Field(np.zeros(FORMS, np.float32), 0.0, np.zeros((2, 2)), 0.0, np.zeros(3))
-    pairs = np.bincount((2 * y[before] + y[before + 1]).astype(int), minlength=4).astype(float)
+    parts = _parts(sizes)
     for step in range(1, STEPS + 1):
         w, bias = params[: len(used)], params[len(used)]
         field.trans, field.start = params[len(used) + 1 : -1].reshape(2, 2), params[-1]
-        s = (np.bincount(word_at, w[slot_at], len(ids)) + bias)[flat]
-        ahead, after = field.chains(s, first)
-        p = ahead * after / (1 + ahead * after)
-        A, e = np.exp(field.trans), np.exp(np.clip(s, -30, 30))
-        r, b, ee = ahead[before], after[before + 1], e[before + 1]
-        xi = np.stack([A[0, 0] * np.ones_like(r), A[0, 1] * ee * b, A[1, 0] * r, A[1, 1] * r * ee * b])
-        expected = (xi / xi.sum(0)).sum(1)
-        g = np.bincount(flat, y - p, len(ids))
-        grad = np.concatenate([np.bincount(slot_at, g[word_at], len(used)) - 0.1 * w, [g.sum()], pairs - expected - field.trans.ravel(), [(y - p)[first].sum() - field.start]])
+        score = np.bincount(word_at, w[slot_at], len(ids)) + bias
+        g, pairs, at_start = np.zeros(len(ids)), np.zeros(4), 0.0
+        for part in parts:
+            more = _gradient(field, score[flat[part]], y[part], first[part])
+            g += np.bincount(flat[part], more[0], len(ids))
+            pairs, at_start = pairs + more[1], at_start + more[2]
+        grad = np.concatenate([np.bincount(slot_at, g[word_at], len(used)) - 0.1 * w, [g.sum()], pairs - field.trans.ravel(), [at_start - field.start]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         params = params + 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     field.weight[used] = params[: len(used)]
     field.bias, field.trans, field.start = float(params[len(used)]), params[len(used) + 1 : -1].reshape(2, 2).copy(), float(params[-1])
-    p = field.marginals(np.array([field.word_score(w) for w in ids])[flat], first)
+    score = np.array([field.word_score(w) for w in ids])
+    p = np.concatenate([field.marginals(score[flat[part]], first[part]) for part in parts])
     x = document_features(p, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
-    field.head = _logistic(x, np.array([float(y) for _, y in unlike]))
+    field.head = _logistic(x, labels.astype(float))
     return field
 
 
