@@ -123,3 +123,11 @@ def test_windows_cover_whole_texts():
     x, mask, of = langid.windows(texts, 128)
     for i, t in enumerate(texts):
         assert b"".join(x[:, j][mask[:, j] > 0].tobytes() for j in np.nonzero(of == i)[0]) == t
+
+
+def test_quality_counts_every_trusted_document(spark):
+    from loomlint.llm import quality
+
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("same"), F.concat(F.lit("w"), F.col("id"))).alias("text"))
+    model = quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert not model.weight.any()  # all text is trusted: both multinomials are one
