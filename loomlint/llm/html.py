@@ -13,7 +13,12 @@ sidebars, notices, adverts, forms, comments and articles in many mark-ups, of
 made-up words, broken as real pages are (unclosed elements, cut ends). The
 number of pages and the seed are parameters; training is repeatable.
 
-Scripts, styles, comments, titles and attributes never become blocks.
+Scripts, styles, templates, titles, text areas, frames, comments and attributes
+never become blocks; all other text does. A formula is part of the text around
+it; drawings and what stands in for objects, media and scripts are blocks of
+their own; a listing (``xmp``) is kept to the letter. Only a script or style
+without an end tag reaches to the end of the page; other raw elements without
+one lose their tag alone.
 Character references are decoded once, white space inside a block becomes one
 space, and main blocks are joined in page order by one space.
 
@@ -58,12 +63,23 @@ DEPTH = 32
 # Fixed values of HTML: elements without content, raw text, inline text, and
 # what the start of an element closes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title noscript template iframe textarea noembed noframes xmp object svg math canvas audio video".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style title template iframe textarea".split())
+TO_END = {"script", "style"}
+#: Elements as if not there, besides their classes and ids; text within all but math is a block of its own.
+CLEAR = set("audio canvas math noembed noframes noscript object svg video".split())
+FOREIGN = {"math", "svg"}
+#: Elements that only formulas and drawings have; of those in SPACED the text stands apart.
+DRAWN = set(
+    "annotation annotation-xml maction maligngroup malignmark menclose merror mfenced mfrac mglyph mi mlabeledtr mlongdiv mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstack mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics "
+    "animate animatemotion animatetransform circle clippath defs desc ellipse filter foreignobject g image line lineargradient marker mask metadata mpath path pattern polygon polyline radialgradient rect set stop switch symbol text textpath tspan use view".split()
+)
+SPACED = set("annotation annotation-xml desc foreignobject metadata mtd mtr text".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | CLEAR
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TAG = re.compile(r"<!--(?P<comment>)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?/][^>]*+>")
 _NAMED = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_END = {name: re.compile(rf"</{name}\s*+[^>]*+>", re.I) for name in (*RAW, "xmp")}
 _PART = re.compile(r"[a-zA-Z0-9]+")
 
 
@@ -94,6 +110,8 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     path: list[int] = []
     leaf, linked, links, at = "", 0, 0, 0
+    foreign, apart, began = 0, 0, 0
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal parts, linked
@@ -104,23 +122,35 @@ def blocks(page: str) -> list[Block]:
         parts, linked = [], 0
 
     def add(text: str) -> None:
-        nonlocal path, leaf, linked
+        nonlocal path, leaf, linked, began
         if text.isspace():
             if parts:
                 parts.append(text)
             return
+        if parts and apart != began:
+            flush()
         if not parts:
             path = [t for _, tokens in stack[-DEPTH:] for t in tokens]
             leaf = next((n for n, _ in reversed(stack) if n not in INLINE), "")
+            began = apart
         parts.append(text)
         if links:
             linked += len(text)
 
     def pop(to: int) -> None:
-        nonlocal links
+        nonlocal links, foreign, apart
         links -= sum(n == "a" for n, _ in stack[to:])
+        foreign -= sum(n in FOREIGN for n, _ in stack[to:])
+        apart -= sum(n in CLEAR and n != "math" for n, _ in stack[to:])
         del stack[to:]
 
+    def skip(name: str) -> re.Match | None:
+        """The next end tag of a raw element; one that is missing is sought once."""
+        end = None if name in endless else _END[name].search(page, at)
+        if not end:
+            endless.add(name)
+        return end
+
     while m := _TAG.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
@@ -136,6 +166,10 @@ def blocks(page: str) -> list[Block]:
         if not raw:
             continue
         name, attrs = raw.lower(), m["attrs"] or m["attrs2"] or ""
+        if foreign and name in SPACED or name in CLEAR and name != "math":
+            add(" ")
+        if foreign and name in DRAWN:
+            continue
         if m["end"] or m["end2"]:
             if name in INLINE:
                 for i in range(len(stack) - 1, -1, -1):
@@ -151,13 +185,22 @@ def blocks(page: str) -> list[Block]:
                         pop(i)
                         break
             continue
+        if (foreign and name in RAW or name in FOREIGN) and attrs.endswith("/"):
+            continue
+        if name in CLEAR:
+            stack.append((name, _tokens(name, attrs)[1:]))
+            foreign += name in FOREIGN
+            apart += name != "math"
+            continue
         if name in INLINE and name not in VOID:
             stack.append((name, _tokens(name, attrs)))
             links += name == "a"
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*+[^>]*+>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if end := skip(name):
+                at = end.end()
+            elif name in TO_END:
+                at = len(page)
             continue
         if name in VOID:
             if name in ("br", "hr"):
@@ -180,6 +223,10 @@ def blocks(page: str) -> list[Block]:
                     break
         if not attrs.endswith("/"):
             stack.append((name, _tokens(name, attrs)))
+            if name == "xmp" and (end := skip(name)):
+                if end.start() > at:
+                    add(entities.escape(page[at : end.start()]))
+                at = end.start()
     rest = page[at:]
     cut = re.search(r"<[a-zA-Z/!?]", rest)
     add(rest[: cut.start()] if cut else rest) if rest else None

@@ -86,3 +86,31 @@ def test_training_matches_differences():
             down = value()
             net.p[k][at] = old
             assert abs((up - down) / 2e-3 - g[k][at]) < 2e-2 * max(1, abs(g[k][at]))
+
+
+def test_only_raw_content_is_skipped():
+    from loomlint.llm.html import blocks
+
+    text = lambda page: [b.text for b in blocks(page)]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<p>z") == ["so x=2 holds", "z"]
+    assert text("<p>a<xmp>if a<b: <p> &amp; c</xmp>d") == ["a", "if a<b: <p> &amp; c", "d"]
+    assert text("<p>a <svg><path d='M0'/></svg> b <video><source></video>c</p>") == ["a b c"]
+    assert text("<p>a <svg><title>t</title><text>10</text><text>20</text></svg> b") == ["a", "10 20", "b"]
+    for name in ("noscript", "object", "canvas", "audio", "video", "noembed", "noframes"):
+        assert text(f"<p>a</p><{name}><p>b</p></{name}><p>c") == ["a", "b", "c"]
+        assert text(f"<p>a <{name}>b</{name}> c") == ["a", "b", "c"]
+    for tag in ("<svg width='1' />", "<math/>", "<svg><style/></svg>", "<object>", "<video>", "<canvas>", "<noscript>", "<svg>", "<math>", "<xmp>", "<textarea>", "<title>", "<iframe src='x'>", "<template>"):
+        assert text(f"<p>a</p>{tag}<p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert [b.path for b in blocks("<p>a <video>b</video></p>")] == [b.path for b in blocks("<p>a</p><p>b</p>")]
+
+
+def test_articles_keep_formulas_and_listings(spark):
+    from loomlint.llm import html
+
+    words = "The measured value of the series follows from the equation below, as was shown in the last chapter of this book."
+    page = lambda x: f"<body><nav class=menu><a href=/>home</a></nav><article><h1>On series</h1><p>{words}</p>{x}<p>{words}</p></article><footer class=footer>copyright</footer></body>"
+    cases = {"<svg class=icon />": "", "<object data=x>": "", f"<p>{words} Thus <math><mi>xq</mi><mo>=</mo><mn>2</mn></math>.</p>": "xq=2", f"<xmp>for zz in list: {words}</xmp>": "for zz in list:", f"<noscript><p>Unscripted. {words}</p></noscript>": "Unscripted."}
+    df = spark.createDataFrame([(i, "u", page(x)) for i, x in enumerate(cases)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["main_text"] for r in html.extract(df).collect()}
+    for i, found in enumerate(cases.values()):
+        assert got[i].count(words) >= 2 and found in got[i] and "copyright" not in got[i]
