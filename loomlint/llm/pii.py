@@ -2,14 +2,16 @@
 
 Seeds are e-mail addresses, IP addresses, payment cards and phone numbers that
 fixed rules find. The contexts of seed entities induce lexical patterns: the
-two words before, the word before and the word after, the word before. Every
-token with a digit is an instance of the patterns it stands in, which makes a
-bipartite graph of patterns and instances with counts. In rounds, a pattern's
-confidence is the share of its instances that are known entities; patterns
-with enough distinct known instances and enough confidence are promoted;
-unknown instances with enough digits that promoted patterns vouch for (noisy
-or) become known, and the next round scores the graph anew. Occurrences of
-discovered instances in promoted contexts are spans of kind ``context``.
+two words before, the word before and the word after, the word before; a
+context ends at a token with a digit or an @. Every seed is an instance of the
+patterns it stands in, and so is every other token with a digit that isn't part
+of a seed, which makes a bipartite graph of patterns and instances with counts.
+In rounds, a pattern's confidence is the share of its instances that are known
+entities; patterns with enough distinct known instances and enough confidence
+are promoted; unknown instances that promoted patterns vouch for (noisy or)
+become known, and the next round scores the graph anew, until a round finds
+nothing new. Occurrences of discovered instances in promoted contexts are spans
+of kind ``context``. Words without a digit are seeds only, never discovered.
 
 Offsets come from splitting a text by a rule: the lengths of gaps and matches
 add up. Sums go over chunks of ``CHUNK`` matches, so a text of very many
@@ -56,10 +58,8 @@ CHUNK = 256
 #: A promoted pattern has so many distinct known instances and so much confidence.
 SUPPORT = 5
 CONFIDENCE = 0.9
-#: An instance is discovered at this noisy-or score; it has so many digits.
+#: An instance is discovered at this noisy-or score.
 ACCEPT = 0.99
-DIGITS = 6
-ROUNDS = 3
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -109,11 +109,16 @@ def _valid(kind: str) -> Callable[[Column], Column]:
     return lambda x: (x != "") & _holds(kind, x)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """[(start, end, value)] of what one rule finds."""
+def seeds(text: Column, kind: str) -> Column:
+    """[(start, end, value, gap before, gap after)] of what one rule finds."""
     maybe = text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9]")
-    kept = F.transform(F.filter(_matches(text, RULES[kind]), lambda s: _holds(kind, s["value"])), lambda s: F.struct(s["start"], s["end"], s["value"]))
-    return F.when(maybe, kept).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+    return F.when(maybe, F.filter(_matches(text, RULES[kind]), lambda s: _holds(kind, s["value"]))).otherwise(none)
+
+
+def _bare(spans: Column) -> Column:
+    """The spans without their gaps."""
+    return F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["value"]))
 
 
 def _word(gap: Column, last: bool, n: int = 1) -> Column:
@@ -121,27 +126,36 @@ def _word(gap: Column, last: bool, n: int = 1) -> Column:
     return F.coalesce(F.get(words, F.size(words) - n if last else F.lit(n - 1)), F.lit("#"))
 
 
-def instances(text: Column) -> Column:
-    """[(start, end, value, known, patterns)] of the tokens that patterns can vouch for."""
+def _instance(s: Column, known: bool) -> Column:
+    # what is glued to the value is no context, nor is what lies beyond other instances
+    before, after = F.regexp_replace(s["before"], r"(?s)^.*[0-9@]\S*|\S+$", ""), F.regexp_replace(s["after"], r"(?s)^\S+|\S*[0-9@].*$", "")
+    l1, l2, r1 = _word(before, True), _word(before, True, 2), _word(after, False)
+    patterns = F.array(F.concat(F.lit("2 "), l2, F.lit(" "), l1, F.lit(" _")), F.concat(F.lit("1 "), l1, F.lit(" _ "), r1), F.concat(F.lit("1 "), l1, F.lit(" _")))
+    return F.struct(s["start"], s["end"], s["value"], F.lit(known).alias("known"), patterns.alias("patterns"))
+
+
+def instances(text: Column, found: dict[str, Column]) -> Column:
+    """[(start, end, value, known, patterns)] of the seeds and of the tokens that patterns can vouch for."""
 
-    def one(s: Column) -> Column:
-        v, before, after = s["value"], s["before"], s["after"]
-        l1, l2, r1 = _word(before, True), _word(before, True, 2), _word(after, False)
+    def seed(v: Column) -> Column:
         known = v.rlike(RULES["email"])
         for kind in ("ip", "card", "phone"):
             known = known | _let(F.regexp_extract(v, RULES[kind], 0), _valid(kind))
-        patterns = F.array(F.concat(F.lit("2 "), l2, F.lit(" "), l1, F.lit(" _")), F.concat(F.lit("1 "), l1, F.lit(" _ "), r1), F.concat(F.lit("1 "), l1, F.lit(" _")))
-        return F.struct(s["start"], s["end"], v.alias("value"), known.alias("known"), patterns.alias("patterns"))
+        return known
 
+    # a seed of one token is seen in the token; one of many tokens is told by its place
+    many = F.filter(F.concat(found["card"], found["phone"]), lambda s: s["value"].contains(" "))
+    free = lambda wide: F.filter(_matches(text, INSTANCE), lambda s: ~seed(s["value"]) & ~F.exists(wide, lambda w: (w["start"] < s["end"]) & (s["start"] < w["end"])))
     none = F.array().cast("array<struct<start:int,end:int,value:string,known:boolean,patterns:array<string>>>")
-    return F.when(text.rlike("[0-9]"), F.transform(_matches(text, INSTANCE), one)).otherwise(none)
+    others = F.when(text.rlike("[0-9]"), _let(many, lambda wide: F.transform(free(wide), lambda s: _instance(s, False)))).otherwise(none)
+    return F.concat(*[F.transform(found[k], lambda s: _instance(s, True)) for k in KINDS], others)
 
 
 def learn(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(promoted patterns, discovered values) of a graph (pattern, value, n, known)."""
     known = common.save(graph.where("known").select("value").distinct(), "known")
-    seeds = known
-    for turn in range(ROUNDS):
+    first = known
+    while True:
         marked = graph.join(known.withColumn("_known", F.lit(True)), "value", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
         marked = common.save(marked.select("pattern", "value", "n", F.col("_known").alias("is_known")), "marked")
         scored = marked.groupBy("pattern").agg(
@@ -149,20 +163,22 @@ def learn(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         scored = scored.withColumn("confidence", F.col("hits") / (F.col("n") + 1)).where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
         promoted = common.save(scored.select("pattern", "confidence"), "promoted")
-        unknown = marked.where(~F.col("is_known") & (F.length(_digits(F.col("value"))) >= DIGITS))
-        vouched = unknown.join(promoted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        vouched = marked.where(~F.col("is_known")).join(promoted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         new = common.save(vouched.where(F.col("score") >= ACCEPT).select("value"), "discovered")
-        if turn == ROUNDS - 1 or new.isEmpty():
+        common.discard(marked)
+        if new.isEmpty():
             break
         known = common.save(known.unionByName(new), "known")
-    return promoted, known.unionByName(new).join(seeds, "value", "left_anti")
+    return promoted, known.join(first, "value", "left_anti")
 
 
 def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs``, email, ip, card, phone and context: arrays of (start, end, value)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
-    found = found.select(*keep, "_row", *[base_spans(F.col("_text"), k).alias(f"_{k}") for k in KINDS], instances(F.col("_text")).alias("_instances"))
+    found = found.select(*keep, "_row", "_text", *[seeds(F.col("_text"), k).alias(f"_{k}") for k in KINDS])
+    own = {k: F.col(f"_{k}") for k in KINDS}
+    found = found.select(*keep, "_row", *[_bare(c).alias(f"_{k}") for k, c in own.items()], instances(F.col("_text"), own).alias("_instances"))
     found = common.save(found, "pii-found")
     each = found.where(F.size("_instances") > 0).select("_row", F.explode("_instances").alias("i"))
     edges = each.select(F.explode("i.patterns").alias("pattern"), F.col("i.value").alias("value"), F.col("i.known").alias("known"))
