@@ -17,8 +17,11 @@ Retrieved templates are verified on the whole text: the share of the
 template's distinct shingles that occur must be ``CONTAINED`` or more. All of
 it happens within a row: templates are a fixed table, nothing is shuffled.
 
-Defined results: null and empty texts, and texts of fewer than five words,
-have no license; a template that occurs many times counts once; repeated rows
+A template of fewer than five words has no shingle: it is looked for as one
+sequence of whole words, in every text. A template without a word is an error.
+
+Defined results: null and empty texts have no license, texts of fewer than five
+words only one of a template as short; a template that occurs many times counts once; repeated rows
 get equal results; an empty table gives an empty result; texts of any length
 are scanned whole.
 """
@@ -59,9 +62,13 @@ TEMPLATES = {
 }
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+
+
 def template_shingles(text: str) -> list[str]:
     """Distinct shingles of a template, in order."""
-    w = re.findall("[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
+    w = template_words(text)
     return list(dict.fromkeys(" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)))
 
 
@@ -120,6 +127,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     templates = TEMPLATES if templates is None else templates
     docs = docs.drop("licenses")
     parts = {k: template_shingles(v) for k, v in sorted(templates.items())}
+    short = {k: " ".join(template_words(templates[k])) for k, v in parts.items() if not v}
+    if empty := [k for k, v in short.items() if not v]:
+        raise ValueError(f"templates without a word: {', '.join(empty)}")
     bands = {k: _least([_hash(s) for s in v]) for k, v in parts.items() if v}
     keys = sorted({h for v in bands.values() for h in v})
     none = F.array().cast("array<struct<license:string,containment:double>>")
@@ -136,7 +146,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
 
     strings = _let(words(F.coalesce(F.col(text), F.lit(""))), lambda w: _shingles(w, lambda *c: F.concat_ws(" ", *c)).cast("array<string>"))
     matched = _let(F.struct(F.col("_found").alias("f"), strings.alias("s")), lambda z: verified(z["f"], z["s"]))
-    return x.withColumn("licenses", F.when(F.size("_found") > 0, matched).otherwise(none) if bands else none).drop("_found")
+    licenses = F.when(F.size("_found") > 0, matched).otherwise(none) if bands else none
+    if short:
+        whole = F.concat(F.lit(" "), F.array_join(words(F.coalesce(F.col(text), F.lit(""))), " "), F.lit(" "))
+        rows = lambda t: F.array(*[F.struct(F.lit(k).alias("license"), t.contains(f" {v} ").cast("double").alias("containment")) for k, v in short.items()])
+        licenses = F.array_sort(F.concat(licenses, _let(whole, lambda t: F.filter(rows(t), lambda r: r["containment"] == 1))))
+    return x.withColumn("licenses", licenses).drop("_found")
 
 
 def op8_license(spark, sf_dir: str) -> DataFrame:

@@ -47,3 +47,20 @@ def test_hash_is_sparks(spark):
 
     h = spark.range(1).select(F.xxhash64(*[F.xxhash64(F.lit(w)) for w in "a bc def g h".split()])).first()[0]
     assert license._hash("a bc def g h") == h
+
+
+def test_short_templates(spark):
+    import pytest
+
+    from loomlint.llm import license
+
+    texts = ["© 2020 Foo. All rights reserved.", "all RIGHTS, reserved", "small rights reserved", "all rights were reserved", "Released under the MIT License. All rights reserved.", "", None, "word " * 500 + "All rights reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    templates = {"Zero": "All rights reserved.", "MIT": license.TEMPLATES["MIT"]}
+    got = {r["doc_id"]: [tuple(x) for x in r["licenses"]] for r in license.scan(df, templates).collect()}
+    all_ = ("Zero", 1.0)
+    assert got == {0: [all_], 1: [all_], 2: [], 3: [], 4: [("MIT", 1.0), all_], 5: [], 6: [], 7: [all_]}
+    only = {r["doc_id"] for r in license.scan(df, {"Zero": "All rights reserved"}).collect() if r["licenses"]}
+    assert only == {0, 1, 4, 7}
+    with pytest.raises(ValueError):
+        license.scan(df, {"none": "©"})
