@@ -94,7 +94,7 @@ def chain_depths(edges: DataFrame, node: str, parent: str, rounds: int = 64) ->
 
     A chain of n steps takes log2(n) joins; a cycle ends at ``rounds``.
     """
-    from ..plans.storage import save
+    from ..storage import save
 
     x = save(edges.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth")), "chain")
     for _ in range(rounds):

@@ -1,10 +1,11 @@
-"""Ordered operators: occurrences, islands, look-ahead, running depth."""
+"""Ordered operators: occurrences, islands, look-ahead, global places."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import columns as C
 
 
@@ -54,11 +55,27 @@ def following(rows: DataFrame, by: list[str], order: list[str], value: str, mark
     })
 
 
-def brace_depth(lines: Column) -> Column:
-    """Depth of braces after each line."""
-    net = lambda s: F.length(F.regexp_replace(s, r"[^{]", "")) - F.length(F.regexp_replace(s, r"[^}]", ""))
-    run = F.aggregate(lines, F.array().cast("array<int>"), lambda acc, s: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + net(s))))
-    return run
+def numbered(rows: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
+    """Adds place (from 0, by ``order``) and before_<c>, the sum of each whole-number column ``c`` over the rows ahead.
+
+    No task sees all rows: they are range-partitioned and written, and only one
+    row of counts a partition is added up by the driver.
+    """
+    spark = rows.sparkSession
+    x = storage.save(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, names = F.shiftright("_at", 33), [f"before_{c}" for c in sums]
+    parts = x.groupBy(part.alias("_part")).agg(F.count("*").alias("place"), *[F.sum(c).cast("long").alias(n) for c, n in zip(sums, names, strict=True)]).orderBy("_part").collect()
+    ahead, offsets = [0] * (1 + len(sums)), []
+    for p in parts:
+        offsets.append((p["_part"], *ahead))
+        ahead = [a + (v or 0) for a, v in zip(ahead, p[1:], strict=True)]
+    schema = ", ".join(f"{c} bigint" for c in ("_part", "_place", *[f"_{n}" for n in names]))
+    x = x.withColumn("_part", part)
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)).cast("long") for c, n in zip(sums, names, strict=True)}) if sums else x
+    x = x.join(F.broadcast(spark.createDataFrame(offsets, schema)), "_part")  # one row a partition
+    x = x.withColumns({"place": F.col("_place") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)), **{n: F.col(n) + F.col(f"_{n}") for n in names}})
+    return x.drop("_at", "_part", "_place", *[f"_{n}" for n in names])
 
 
 def top_per(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -498,9 +498,8 @@ def top_n_per_file(t):
 
 @query("q_files_by_issue_count", f"WITH {ISSUES}, c AS (SELECT file, count(*) AS n FROM issues GROUP BY file) SELECT file, n, row_number() OVER (ORDER BY n DESC, file)::INT AS place FROM c")
 def files_by_issue_count(t):
-    from pyspark.sql import Window
-
-    return t.issues.groupBy("file").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "file")))
+    x = windows.numbered(t.issues.groupBy("file").agg(F.count("*").alias("n")), [F.desc("n"), F.col("file")])
+    return x.select("file", "n", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("q_fix_priority", f"WITH {ISSUES}, {_dims_sql('file')} SELECT file, total_score, 100 - total_score AS priority FROM totals WHERE total_score < 95")

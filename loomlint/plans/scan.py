@@ -45,7 +45,7 @@ def issues(units: DataFrame, registry: DataFrame | None = None, dependencies: Da
 
 def scan(files: DataFrame, diff_files: DataFrame | None = None, **kwargs) -> dict[str, DataFrame]:
     """``files`` (file, language, content) -> units, issues, score, file_scores, errors. Units are written once and read by all detectors."""
-    from .storage import save
+    from ..storage import save
 
     every = save(code.extract_units(files), "units")
     units = every.where("error is null")
