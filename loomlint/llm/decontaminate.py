@@ -14,38 +14,49 @@ length form one search with
 Many places of a batch move at once: the words of a batch lie in one array,
 and each stretch of ``LANE`` words is searched from its own first place.
 
-Benchmark text is read in blocks of at most ``BLOCK_BYTES``; each block is one
-pass over the documents and passes hand on what they have found, so neither
-driver nor executors hold more than one block's tables however large the
-benchmark is. The benchmark doesn't set how often the documents are shuffled:
-they aren't.
+Benchmark text is compiled in blocks of ``BLOCK_BYTES`` (and one item at
+most over it): one array of word numbers, the places where windows start, and
+whose they are. A compiled block is broadcast; its size is bounded by the
+block's, about 40 bytes a word and 150 a distinct word. A benchmark of one
+block, the usual case, takes one pass over the documents and no shuffle. A
+larger one takes a pass a block, one after the other, over documents written
+with a row number; a pass writes only the rows that are hit, and its broadcast
+is destroyed before the next block is compiled. So no worker ever holds more
+than one block, however large the benchmark is.
 
 Defined results: null or empty texts have no words and are never
 contaminated; items without words have no window; items with a null id mark
 words but aren't counted or listed; items repeated under one id count once;
-overlapping and repeated occurrences mark a word once; documents of any
-length are searched whole.
+overlapping and repeated occurrences mark a word once; an empty table, of
+documents or of benchmark items, gives no hits; columns of ``docs`` named like
+an output column are replaced, others stay, whatever their names; documents of
+any length are searched whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import windows
 from . import common
 
 WINDOW = 13
 LANE = 256
-#: Slots of a shift table.
+#: Slots of a shift table, one byte each.
 TABLE = 1 << 20
-#: Benchmark text searched for in one pass.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text that is compiled and broadcast at a time.
+BLOCK_BYTES = 8 << 20
+#: Words as SQL functions count them.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Lower-cases A-Z and turns every byte that isn't part of a word into a space.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
@@ -59,27 +70,27 @@ def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """Wu-Manber tables for patterns (rows of word numbers) of one length."""
-
-    def __init__(self, patterns: np.ndarray):
-        self.patterns, self.m = patterns, patterns.shape[1]
-        self.span = min(2, self.m)
-        self.shift = np.full(TABLE, self.m - self.span + 1, np.int16)
-        for end in range(self.span - 1, self.m):
-            np.minimum.at(self.shift, self.block(patterns, end), self.m - 1 - end)
-        key = self.key(self.block(patterns, self.m - 1), self.block(patterns, self.span - 1))
-        self.order = np.argsort(key, kind="stable")
+    """Wu-Manber tables for windows of ``m`` words that start at ``starts`` of ``flat``."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, m: int):
+        self.flat, self.starts, self.m = flat, starts, m
+        self.span = min(2, m)
+        self.shift = np.full(TABLE, m - self.span + 1, np.int8)
+        for end in range(self.span - 1, m):
+            np.minimum.at(self.shift, self.block(end), np.int8(m - 1 - end))
+        key = self.key(self.block(m - 1), self.block(self.span - 1))
+        self.order = np.argsort(key, kind="stable").astype(np.int32)
         self.keys = key[self.order]
 
-    def block(self, rows: np.ndarray, end: int) -> np.ndarray:
-        return _block(rows[:, end - self.span + 1], rows[:, end])
+    def block(self, end: int) -> np.ndarray:
+        return _block(self.flat[self.starts + end - self.span + 1], self.flat[self.starts + end])
 
     @staticmethod
     def key(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         return suffix * TABLE + prefix
 
     def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Last places and numbers of the patterns that occur in ``text``; -1 in it matches nothing."""
+        """Last places and numbers of the windows that occur in ``text``; -1 in it matches nothing."""
         ends, found = [], []
         at = np.arange(self.m - 1, len(text), LANE, dtype=np.int64)
         stop = np.minimum(at + LANE, len(text))
@@ -94,30 +105,74 @@ class Searcher:
                 e, c = np.repeat(hit, many), self.order[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
                 same = np.ones(len(e), bool)
                 for i in range(self.m):
-                    same[same] = text[e[same] - self.m + 1 + i] == self.patterns[c[same], i]
+                    same[same] = text[e[same] - self.m + 1 + i] == self.flat[self.starts[c[same]] + i]
                 ends.append(e[same])
                 found.append(c[same])
             at = at + np.maximum(step, 1)
             going = at < stop
             at, stop = at[going], stop[going]
-        return (np.concatenate(ends), np.concatenate(found)) if ends else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return (np.concatenate(ends), np.concatenate(found)) if ends else (np.zeros(0, np.int64), np.zeros(0, np.int32))
 
 
-def compile_items(items: list[tuple[str | None, bytes]]) -> dict:
-    """Windows of (id, text) items: the vocabulary, and by length the patterns and whose they are."""
-    vocab: dict[bytes, int] = {}
-    windows: dict[int, dict[tuple[int, ...], set[str]]] = {}
-    for item, text in items:
-        ids = [vocab.setdefault(w, len(vocab) + 1) for w in words_of(text)]
-        m = min(WINDOW, len(ids))
-        for i in range(len(ids) - m + 1) if m else ():
-            windows.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).update(() if item is None else (item,))
-    return {"vocab": vocab, "by_length": [(np.array(list(w), np.int64).reshape(-1, m), [sorted(x) for x in w.values()]) for m, w in sorted(windows.items())]}
+@dataclass
+class Owners:
+    """Item numbers of window ``c``: items[first[c] : first[c + 1]]."""
+
+    first: np.ndarray
+    items: np.ndarray
+
+
+@dataclass
+class Tables:
+    """A compiled block of the benchmark."""
+
+    vocab: dict[bytes, int]
+    names: list[str]
+    searchers: list[tuple[Searcher, Owners]]
+
 
+def _windows(flat: np.ndarray, starts: np.ndarray, item: np.ndarray, m: int) -> tuple[np.ndarray, Owners]:
+    """The distinct windows and their items."""
+    h = np.zeros(len(starts), np.uint64)
+    for i in range(m):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + flat[starts + i].astype(np.uint64)
+    order = np.lexsort((item, h))
+    starts, item, h = starts[order], item[order], h[order]
+    # neighbours of equal hash are compared word by word
+    new = np.ones(len(starts), bool)
+    new[1:] = h[1:] != h[:-1]
+    for i in range(m):
+        new[1:] |= flat[starts[1:] + i] != flat[starts[:-1] + i]
+    first = np.append(np.nonzero(new)[0], len(starts)).astype(np.int32)
+    return starts[new], Owners(first, item)
 
-def search_batch(texts: list[bytes], vocab: dict, searchers: list[tuple[Searcher, list[list[str]]]]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-    """(number of words, merged word ranges that are hit, ids of items) of each text."""
-    ids, sizes, get = [-1], [], vocab.get
+
+def compile_items(items: list[tuple[str | None, bytes]]) -> Tables:
+    """The tables of (id, text) items."""
+    vocab: dict[bytes, int] = {}
+    numbers: dict[str, int] = {}
+    parts, sizes, who = [], [], []
+    for item, text in items:
+        words = words_of(text)
+        parts.append(np.fromiter((vocab.setdefault(w, len(vocab) + 1) for w in words), np.int32, len(words)))
+        sizes.append(len(words))
+        who.append(-1 if item is None else numbers.setdefault(item, len(numbers)))
+    flat = np.concatenate([np.zeros(0, np.int32), *parts])
+    size, number = np.array(sizes, np.int64), np.array(who, np.int32)
+    begin, m = np.cumsum(size) - size, np.minimum(size, WINDOW)
+    searchers = []
+    for length in sorted({*m.tolist()} - {0}):
+        of = m == length
+        many = size[of] - length + 1
+        starts = np.repeat(begin[of] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        starts, owners = _windows(flat, starts.astype(np.int32), np.repeat(number[of], many), length)
+        searchers.append((Searcher(flat, starts, length), owners))
+    return Tables(vocab, list(numbers), searchers)
+
+
+def search_batch(texts: list[bytes], tables: Tables) -> Iterator[tuple[int, list[tuple[int, int]], set[str], int]]:
+    """(number of words, merged word ranges that are hit, ids of items, words of the longest window found) of each text."""
+    ids, sizes, get = [-1], [], tables.vocab.get
     for t in texts:
         words = words_of(t)
         sizes.append(len(words))
@@ -127,36 +182,26 @@ def search_batch(texts: list[bytes], vocab: dict, searchers: list[tuple[Searcher
     start = np.cumsum([1] + [n + 1 for n in sizes[:-1]]) if sizes else np.zeros(0, np.int64)
     ranges: dict[int, list] = {}
     items: dict[int, set] = {}
-    for s, owners in searchers:
+    longest: dict[int, int] = {}
+    for s, owners in tables.searchers:
         if len(flat) < s.m:
             continue
         ends, found = s.search(flat)
-        order = np.argsort(ends, kind="stable")
         doc = np.searchsorted(start, ends, "right") - 1
-        for i in order.tolist():
-            d, e = int(doc[i]), int(ends[i] - start[doc[i]])
+        for d, e, c in zip(doc.tolist(), (ends - start[doc]).tolist(), found.tolist(), strict=True):
             ranges.setdefault(d, []).append((e - s.m + 1, e + 1))
-            items.setdefault(d, set()).update(owners[found[i]])
+            items.setdefault(d, set()).update(tables.names[i] for i in owners.items[owners.first[c] : owners.first[c + 1]].tolist() if i >= 0)
+            longest[d] = max(s.m, longest.get(d, 0))
     for d, n in enumerate(sizes):
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(ranges.get(d, ())):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        yield n, merged, items.get(d, set())
+        yield n, _merge(ranges.get(d, [])), items.get(d, set()), longest.get(d, 0)
 
 
-_RESULT = [
-    T.StructField("_n_words", T.LongType()),
-    T.StructField("_ranges", T.ArrayType(T.ArrayType(T.LongType()))),
-    T.StructField("_items", T.ArrayType(T.StringType())),
-]
+_RANGES = pa.list_(pa.list_(pa.int64()))
 
 
-def _merge(a: list, b: list) -> list:
+def _merge(ranges: list) -> list[list[int]]:
     out: list[list[int]] = []
-    for x, y in sorted([tuple(r) for r in a] + [tuple(r) for r in b]):
+    for x, y in sorted(map(tuple, ranges)):
         if out and x <= out[-1][1]:
             out[-1][1] = max(y, out[-1][1])
         else:
@@ -164,64 +209,68 @@ def _merge(a: list, b: list) -> list:
     return out
 
 
-def _pass(df: DataFrame, block: list[tuple[str | None, bytes]], text: str) -> DataFrame:
-    """Search ``df`` for one block of the benchmark, on top of what the columns of _RESULT already hold."""
-    schema = T.StructType([f for f in df.schema.fields if f.name not in {r.name for r in _RESULT}] + _RESULT)
-    names = [f.name for f in schema.fields]
+def _pass(df: DataFrame, tables, text: str, hits_only: bool = False) -> DataFrame:
+    """Search ``df`` for a broadcast block: its other columns, n_words, hit_ranges, items and longest."""
+    names = [c for c in df.columns if c != text]
+    added = [("n_words", pa.int64()), ("hit_ranges", _RANGES), ("items", pa.list_(pa.string())), ("longest", pa.int64())]
+    extra = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_ranges", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = compile_items(block)
-        searchers = [(Searcher(p), owners) for p, owners in tables["by_length"]]
-        for b in batches:
-            texts = [x or b"" for x in b.column(text).to_pylist()]
-            old_r, old_i = b.column("_ranges").to_pylist(), b.column("_items").to_pylist()
-            n, r, i = [], [], []
-            for k, (size, ranges, items) in enumerate(search_batch(texts, tables["vocab"], searchers)):
-                n.append(size)
-                r.append(_merge(old_r[k], ranges))
-                i.append(sorted({*old_i[k], *items}))
-            new = {"_n_words": pa.array(n, pa.int64()), "_ranges": pa.array(r, pa.list_(pa.list_(pa.int64()))), "_items": pa.array(i, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
-
-    return df.mapInArrow(run, schema)
-
-
-def _blocks(benchmark: DataFrame) -> list[list[str]]:
-    """Ids of benchmark rows by block: sizes are gathered, not texts."""
-    rows = benchmark.select("_row", F.octet_length("_text").alias("n")).collect()
-    out, filled = [[]], 0
-    for r in rows:
-        if filled and filled + r["n"] > BLOCK_BYTES:
-            out.append([])
-            filled = 0
-        out[-1].append(r["_row"])
-        filled += r["n"]
-    return out
+        for b in common.slices(batches):
+            rows = [(n, r, sorted(i), m) for n, r, i, m in search_batch([x or b"" for x in b.column(text).to_pylist()], tables.value)]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(added)
+            out = pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(c, k) for c, (_, k) in zip(cols, added, strict=True)]], names=[*names, *[n for n, _ in added]])
+            yield out.filter(pc.greater(out.column("longest"), 0)) if hits_only else out
 
+    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in names], *extra.fields]))
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, n_hit, hit_ranges (word places, end exclusive), items and contaminated to ``docs``."""
+
+def _items(bench: DataFrame) -> list[tuple[str | None, bytes]]:
+    return [(r["_id"], bytes(r["_text"])) for r in bench.select("_id", "_text").distinct().collect()]
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.set_column(b.schema.get_field_index("hit_ranges"), "hit_ranges", pa.array([_merge(r) for r in b.column("hit_ranges").to_pylist()], _RANGES))
+
+
+def _in_blocks(docs: DataFrame, bench: DataFrame, text: str) -> DataFrame:
+    """A pass for each block of ``bench`` in turn, over numbered rows."""
     spark = docs.sparkSession
-    common.arrow_limits(spark)
-    docs = docs.drop("n_words", "n_hit", "hit_ranges", "items", "contaminated")
-    bench = benchmark.select(F.col("item_id").cast("string").alias("_id"), common.utf8("text").alias("_text"))
-    size = bench.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    if size <= BLOCK_BYTES:
-        blocks = iter([[(r["_id"], bytes(r["_text"])) for r in bench.distinct().collect()]])
-    else:
-        kept = common.save(bench.distinct().withColumn("_row", F.monotonically_increasing_id()), "benchmark")
-        blocks = ([(r["_id"], bytes(r["_text"])) for r in kept.where(F.col("_row").isin(ids)).collect()] for ids in _blocks(kept))
-    x = docs.withColumn("_bytes", common.utf8(text)).withColumns({"_n_words": F.lit(0).cast("long"), "_ranges": F.array().cast("array<array<bigint>>"), "_items": F.array().cast("array<string>")})
-    for block in blocks:
-        x = _pass(x, block, "_bytes")
-    hit = F.aggregate("_ranges", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])
-    x = x.withColumn("n_hit", hit)
+    row = common.spare(docs, "_row")
+    rows = common.save(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    placed = windows.numbered(bench.distinct().withColumn("_n", F.octet_length("_text").cast("long")), [F.xxhash64("_id", "_text"), F.col("_id"), F.col("_text")], ("_n",))
+    blocks = common.save(placed.select("_id", "_text", F.floor(F.col("before__n") / BLOCK_BYTES).cast("long").alias("_block")), "benchmark-blocks")
+    found = []
+    for block in range(blocks.agg(F.max("_block")).first()[0] + 1):
+        tables = spark.sparkContext.broadcast(compile_items(_items(blocks.where(F.col("_block") == block))))
+        found.append(common.save(_pass(rows.select(F.col(row).alias("_row"), common.utf8(text).alias("_bytes")), tables, "_bytes", True).drop("n_words"), "decontaminate-hits"))
+        tables.destroy()
+    # a row has at most one list a block
+    hits = reduce(DataFrame.unionByName, found).groupBy("_row").agg(
+        F.flatten(F.collect_list("hit_ranges")).alias("hit_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest")
+    )
+    hits = hits.mapInArrow(_union, hits.schema).withColumnRenamed("_row", "_hit_row")
+    x = rows.select(F.struct(*rows.columns).alias("d")).join(hits, F.col(f"d.`{row}`") == F.col("_hit_row"), "left")
     return x.select(
-        *docs.columns, F.col("_n_words").alias("n_words"), "n_hit", F.col("_ranges").alias("hit_ranges"), F.col("_items").alias("items"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("_n_words"))).alias("contaminated"),
+        *[F.col(f"d.`{c}`").alias(c) for c in docs.columns], F.regexp_count(F.coalesce(F.col(f"d.`{text}`"), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"),
+        F.coalesce("hit_ranges", F.array().cast("array<array<bigint>>")).alias("hit_ranges"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest"),
     )
 
 
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_words, n_hit, hit_ranges (word places, end exclusive), items, longest (words of the longest window found) and contaminated to ``docs``."""
+    docs = docs.drop("n_words", "n_hit", "hit_ranges", "items", "longest", "contaminated")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("_id"), common.utf8("text").alias("_text"))
+    if (bench.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) <= BLOCK_BYTES:
+        raw = common.spare(docs, "_bytes")
+        x = _pass(docs.withColumn(raw, common.utf8(text)), docs.sparkSession.sparkContext.broadcast(compile_items(_items(bench))), raw)
+    else:
+        x = _in_blocks(docs, bench, text)
+    x = x.withColumn("n_hit", F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0]))
+    return x.select(*docs.columns, "n_words", "n_hit", "hit_ranges", "items", "longest", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     x = find(docs, common.read_table(spark, sf_dir, "benchmark"))

@@ -536,13 +536,12 @@ def main_texts(net: Net, pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, net: Net | None = None, column: str = "html") -> DataFrame:
     """``pages`` with main_text (in place of ``column``)."""
-    common.arrow_limits(pages.sparkSession)
     net = net or train()
     names = [c for c in pages.columns if c not in (column, "main_text")]
     schema = T.StructType([*[pages.schema[c] for c in names], T.StructField("main_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             texts = main_texts(net, [x or "" for x in b.column(column).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(texts, pa.string())], names=[*names, "main_text"])
 

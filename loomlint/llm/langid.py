@@ -198,13 +198,12 @@ def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred and score to ``docs``."""
-    common.arrow_limits(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             texts = [x or "" for x in b.column("_text").to_pylist()]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             ask = [i for i, t in enumerate(texts) if model is not None and _LETTER.search(t)]

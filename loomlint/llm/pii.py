@@ -2,7 +2,9 @@
 
 Seeds are e-mail addresses, IP addresses, payment cards and phone numbers that
 fixed rules find. The contexts of seed entities induce lexical patterns: the
-two words before, the word before and the word after, the word before; a
+two words before, the word before and the word after, the word before, and the
+word before with the shape of the value (its runs of digits, capitals and small
+letters); words of a context are without the punctuation around them. A
 context ends at a token with a digit or an @. Every seed is an instance of the
 patterns it stands in, and so is every other token with a digit that isn't part
 of a seed, which makes a bipartite graph of patterns and instances with counts.
@@ -21,8 +23,12 @@ that no text makes them backtrack; they match what the plain rules match.
 One pass reads the texts and writes spans and instances (not the texts, unless
 asked for) to the shared folder; the graph is built from there.
 
+Joins spread a hot pattern or value over salted keys.
+
 Defined results: null and empty texts have no spans; overlapping spans of
-different kinds are all reported; repeated rows get equal spans; ids may be
+different kinds are all reported, and ``redact`` writes them as one, named by
+the longest of those that start first; columns named like the result's are
+replaced by ``detect`` and kept by ``redact``; repeated rows get equal spans; ids may be
 null or repeated, as rows are told apart by a number of their own; an empty
 table gives an empty result; texts of any length are searched whole.
 """
@@ -123,14 +129,20 @@ def _bare(spans: Column) -> Column:
 
 def _word(gap: Column, last: bool, n: int = 1) -> Column:
     words = F.filter(F.split(F.lower(gap), r"\s+"), lambda w: w != "")
-    return F.coalesce(F.get(words, F.size(words) - n if last else F.lit(n - 1)), F.lit("#"))
+    bare = lambda w: F.coalesce(F.nullif(F.regexp_replace(w, r"^[^\p{L}]++|(?<!\P{L})\P{L}++$", ""), F.lit("")), w)
+    return F.coalesce(_let(F.get(words, F.size(words) - n if last else F.lit(n - 1)), bare), F.lit("#"))
+
+
+def _shape(value: Column) -> Column:
+    """Runs of digits by length, runs of capitals and small letters as one each."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{Lu}+", "A"), r"\p{Ll}+", "a")
 
 
 def _instance(s: Column, known: bool) -> Column:
     # what is glued to the value is no context, nor is what lies beyond other instances
     before, after = F.regexp_replace(s["before"], r"(?s)^.*[0-9@]\S*|\S+$", ""), F.regexp_replace(s["after"], r"(?s)^\S+|\S*[0-9@].*$", "")
     l1, l2, r1 = _word(before, True), _word(before, True, 2), _word(after, False)
-    patterns = F.array(F.concat(F.lit("2 "), l2, F.lit(" "), l1, F.lit(" _")), F.concat(F.lit("1 "), l1, F.lit(" _ "), r1), F.concat(F.lit("1 "), l1, F.lit(" _")))
+    patterns = F.array(F.concat(F.lit("2 "), l2, F.lit(" "), l1, F.lit(" _")), F.concat(F.lit("1 "), l1, F.lit(" _ "), r1), F.concat(F.lit("1 "), l1, F.lit(" _")), F.concat(F.lit("s "), l1, F.lit(" "), _shape(s["value"])))
     return F.struct(s["start"], s["end"], s["value"], F.lit(known).alias("known"), patterns.alias("patterns"))
 
 
@@ -156,48 +168,57 @@ def learn(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = common.save(graph.where("known").select("value").distinct(), "known")
     first = known
     while True:
-        marked = graph.join(known.withColumn("_known", F.lit(True)), "value", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+        marked = common.salted_join(graph, known.withColumn("_known", F.lit(True)), "value", F.col("pattern"), "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
         marked = common.save(marked.select("pattern", "value", "n", F.col("_known").alias("is_known")), "marked")
         scored = marked.groupBy("pattern").agg(
             F.sum(F.when(F.col("is_known"), F.col("n")).otherwise(0)).alias("hits"), F.sum("n").alias("n"), F.sum(F.col("is_known").cast("int")).alias("support")
         )
         scored = scored.withColumn("confidence", F.col("hits") / (F.col("n") + 1)).where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
         promoted = common.save(scored.select("pattern", "confidence"), "promoted")
-        vouched = marked.where(~F.col("is_known")).join(promoted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        vouched = common.salted_join(marked.where(~F.col("is_known")), promoted, "pattern", F.col("value")).groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         new = common.save(vouched.where(F.col("score") >= ACCEPT).select("value"), "discovered")
         common.discard(marked)
         if new.isEmpty():
             break
+        common.discard(promoted)
         known = common.save(known.unionByName(new), "known")
     return promoted, known.join(first, "value", "left_anti")
 
 
-def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs``, email, ip, card, phone and context: arrays of (start, end, value)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
-    found = found.select(*keep, "_row", "_text", *[seeds(F.col("_text"), k).alias(f"_{k}") for k in KINDS])
-    own = {k: F.col(f"_{k}") for k in KINDS}
-    found = found.select(*keep, "_row", *[_bare(c).alias(f"_{k}") for k, c in own.items()], instances(F.col("_text"), own).alias("_instances"))
+def _detect(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """kept (a struct of the columns ``keep``), email, ip, card, phone and context."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")
+    found = docs.select(kept, F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    found = found.select("kept", "_row", "_text", *[seeds(F.col("_text"), k).alias(k) for k in KINDS])
+    own = {k: F.col(k) for k in KINDS}
+    found = found.select("kept", "_row", *[_bare(c).alias(k) for k, c in own.items()], instances(F.col("_text"), own).alias("_instances"))
     found = common.save(found, "pii-found")
     each = found.where(F.size("_instances") > 0).select("_row", F.explode("_instances").alias("i"))
     edges = each.select(F.explode("i.patterns").alias("pattern"), F.col("i.value").alias("value"), F.col("i.known").alias("known"))
     graph = common.save(edges.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("known").alias("known")), "pii-graph")
     promoted, discovered = learn(graph)
-    more = each.select("_row", "i.start", "i.end", "i.value", F.explode("i.patterns").alias("pattern"))
-    more = more.join(discovered, "value").join(promoted.select("pattern"), "pattern", "left_semi")
-    more = more.groupBy("_row").agg(F.collect_set(F.struct("start", "end", "value")).alias("_context"))
-    has = F.size("_instances") > 0
+    more = each.select("_row", "i.start", "i.end", "i.value", "i.patterns")
+    more = common.salted_join(more, discovered, "value", F.col("_row")).select("_row", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    more = common.salted_join(more, promoted.select("pattern"), "pattern", F.col("_row"), "left_semi")
+    more = common.save(more.groupBy("_row").agg(F.collect_set(F.struct("start", "end", "value")).alias("context")), "pii-context")
+    common.discard(graph)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    clear = F.filter(F.coalesce("_context", none), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    out = found.where(has).join(common.save(more, "pii-context"), "_row", "left").withColumn("_context", F.array_sort(clear))
-    out = out.unionByName(found.where(~has).withColumn("_context", none))
-    return out.select(*keep, *[F.col(f"_{k}").alias(k) for k in (*KINDS, "context")])
+    base = F.concat(*[F.col(k) for k in KINDS])
+    clear = F.filter("context", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    if more.isEmpty():
+        return found.select("kept", *KINDS, none.alias("context"))
+    out = found.where(F.size("_instances") > 0).join(more, "_row", "left").withColumn("context", F.coalesce(F.array_sort(clear), none))
+    return out.select("kept", *KINDS, "context").unionByName(found.where(F.size("_instances") == 0).select("kept", *KINDS, none.alias("context")))
+
+
+def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``docs``, email, ip, card, phone and context: arrays of (start, end, value)."""
+    keep = [c for c in keep if c.lower() not in (*KINDS, "context")]
+    return _detect(docs, keep).select("kept.*", *KINDS, "context")
 
 
 def _marked(kind: str) -> Callable[[Column], Column]:
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind.upper()).alias("kind"))
+    return lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kind.upper()).alias("kind"))
 
 
 def _named(kind: str) -> Callable[[Column], Column]:
@@ -207,8 +228,9 @@ def _named(kind: str) -> Callable[[Column], Column]:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars of a changed text follows it."""
     names = docs.columns
+    # spans that overlap become one, of the kind of the first, of the longest if several start there
     spans = F.array_sort(F.concat(*[F.transform(k, _marked(k)) for k in (*KINDS, "context")]))
-    # spans that overlap become one, of the first one's kind
+    spans = F.transform(spans, lambda s: F.struct(s["start"], (-s["back"]).alias("end"), s["kind"]))
     start = F.struct(F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("done"), F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("").alias("kind")).alias("open"))
 
     def step(s: Column, x: Column) -> Column:
@@ -217,14 +239,17 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when(x["start"] < s["open"]["end"], F.struct(s["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(done.alias("done"), x.alias("open")))
 
     merged = F.aggregate(F.col("_spans"), start, step, lambda s: F.when(s["open"]["start"] < 0, s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
-    pieces = lambda m: F.transform(m, lambda s, i: F.concat(F.substring("text", F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0))), F.lit("["), s["kind"], F.lit("]")))
-    whole = lambda m: F.concat(F.array_join(pieces(m), ""), F.substring("text", F.element_at(m, -1)["end"] + 1, F.length("text")))
-    x = detect(docs, names).withColumn("_spans", spans)
+    end = lambda m, i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+    pieces = lambda t, m: F.transform(m, lambda s, i: F.concat(F.substring(t, end(m, i) + 1, s["start"] - end(m, i)), F.lit("["), s["kind"], F.lit("]")))
+    text = F.col("kept.`text`")
+    whole = lambda m: F.concat(F.array_join(pieces(text, m), ""), F.substring(text, F.element_at(m, -1)["end"] + 1, F.length(text)))
+    x = _detect(docs, names).select("kept", spans.alias("_spans"))
     clean = F.size("_spans") == 0
-    x = x.withColumn("text", F.when(clean, F.col("text")).otherwise(_let(merged, whole)))
-    if "n_chars" in names:
-        x = x.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return x.select(*names)
+    x = x.select("kept", F.when(clean, text).otherwise(_let(merged, whole)).alias("_new"))
+    n_chars = [c for c in names if c.lower() == "n_chars"]
+    same = F.col("_new").eqNullSafe(text)
+    new = {"text": F.col("_new")} | {c: F.when(same, F.col(f"kept.`{c}`")).otherwise(F.length("_new").cast(docs.schema[c].dataType)) for c in n_chars}
+    return x.select(*[new.get(c.lower() if c.lower() == "text" else c, F.col(f"kept.`{c}`")).alias(c) for c in names])
 
 
 def digest(spans: DataFrame) -> DataFrame:

@@ -292,7 +292,6 @@ def _spans(text: bytes, toxic: np.ndarray) -> list[tuple[int, int]]:
 
 def score(docs: DataFrame, field: Field | None) -> DataFrame:
     """Adds score and spans (code point ranges of toxic words) to ``docs``."""
-    common.arrow_limits(docs.sparkSession)
     docs = docs.drop("score", "spans")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
@@ -300,7 +299,7 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
-        for b in batches:
+        for b in common.slices(batches):
             texts = [x or b"" for x in b.column("_bytes").to_pylist()]
             n = len(texts)
             scores, spans = np.zeros(n), [[] for _ in range(n)]

@@ -119,7 +119,6 @@ def parse(data: bytes) -> Iterator[dict]:
 
 def read(spark, path: str) -> DataFrame:
     """Records of the archives in ``path``: one row each, schema RECORD."""
-    common.arrow_limits(spark)
     names = [c.strip().split()[0] for c in RECORD.replace("map<string,string>", "map").split(",")]
     bare = lambda x: x and x.removeprefix("<urn:uuid:").removesuffix(">")
 
