@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, save, scratch, shared_dir  # noqa: F401
+from ..storage import discard, save, scope, scratch, shared_dir  # noqa: F401
 
 #: Rows and bytes of an Arrow batch that are worked on at a time; Spark bounds
 #: the batch itself. Memory for work doesn't follow text length, but for one text.
