@@ -1,27 +1,40 @@
 """Mixing sources to target weights by a low-discrepancy schedule (DataFrame operations only).
 
-1. Every source's documents are put in a shuffled but repeatable order (MD5
-   of the document id) and laid end to end, so each document owns an interval
-   of its source's stream of words.
-2. Sources get weights by rank, and targets by water-filling: a target stops
-   at ``cap`` times its source's size and the excess is shared anew by weight.
-   The water level has a closed form over sources sorted by cap / weight.
-3. The streams are cut into blocks of ``block`` words. Golden-ratio points
-   ``frac(k * phi)`` mapped through the cumulative slot weights schedule one
-   source per slot; the r-th slot of a source takes its block r modulo its
-   number of blocks. Any interval of length 1/n is hit by 2.62 n golden-ratio
-   points, so three times the slots wanted give every source its slots.
-4. Documents look up the blocks that hold their first and last word. With the
-   words taken before each block, how often it is taken whole and how long a
-   prefix its last, partial slot takes, the words that the mix takes from the
-   document follow without expanding the document into blocks.
+1. Sources get weights by rank, and targets by water-filling: a target stops
+   at ``cap`` times its source's size and the excess is shared anew by weight
+   until none is above. A round is one aggregate over the sources.
+2. Every source's documents are put in a shuffled but repeatable order (MD5 of
+   the document id) and laid end to end; the stream is cut into blocks of equal
+   words. A block has the words of 1 / ``SLOTS`` of the mix, or of
+   1 / ``LEAST_SLOTS`` of the source's target where that is less.
+3. The schedule is a fixed sequence of as many slots as the targets have blocks.
+   Slot k belongs to the source in whose share of the cumulative weights the
+   golden-ratio point ``k * GOLDEN mod 2**32`` falls: the points decide how
+   many slots a source gets and when. Points of low discrepancy hit a share of
+   n slots n times, give or take a few.
+4. The r-th slot of a source reads its block r modulo its number of blocks, and
+   ``cap`` passes at most. So many whole passes and so many blocks of one more
+   pass say how often each word of the stream is read, and with its place in the
+   stream what the mix takes of a document. Documents join the schedule by the
+   block they begin in, which gives the slot that reads them first.
+
+All arithmetic of the schedule is in whole numbers, so reruns agree.
+
+A source's taken words differ from its target by the points' discrepancy, a few
+blocks (of at most 1 / ``LEAST_SLOTS`` of the target where a block holds more
+than one word), and by its last, shorter block.
+
+Ranks and running sums over sources, and over documents of a source, are taken
+within partitions or cells of ``CELL`` documents, never in one task. Texts are
+read for their size and, if a column of the result, moved once.
 
 Defined results: null text and text of white space only have size 0 and take 0
-words; a null source is a source of its own and sorts last; a null id sorts
-first within its source; repeated rows each own an interval (equal rows that
-share a cut may be told apart only by position, their multiset of results is
-repeatable); an empty table gives an empty result; a column named like an
-output column of the operator is replaced by it.
+words; a null source is a source of its own and sorts last; rows with a null id
+are ordered by their text; repeated rows each own an interval (equal rows are
+told apart only by position, their multiset of results is repeatable); an empty
+table gives an empty result; a column named like an output column of the
+operator is replaced by it, others stay, whatever their names; texts of any
+length are counted whole.
 """
 
 from __future__ import annotations
@@ -29,20 +42,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import windows
 from . import common
 
-#: Golden-ratio conjugate.
-PHI = 0.6180339887498949
-#: Slots of the schedule, over all sources; each source may add one partial slot.
+#: 2**32 divided by the golden ratio, to the nearest odd number.
+GOLDEN = 2654435769
+#: Slots of the schedule, besides those that small sources add.
 SLOTS = 65536
-#: Points drawn for each slot wanted; 2.62 would do.
-DRAW = 3
+#: Slots that a source's target has at least, if it has as many words.
+LEAST_SLOTS = 1024
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
-#: Rows that a broadcast of the schedule may have.
-BROADCAST_ROWS = 262_144
-#: Hexadecimal digits of the order key that deal a source out to tasks.
-DEAL_DIGITS = 3
+#: Documents of a cell, on average.
+CELL = 20_000
+#: Slots of a schedule that is broadcast: 32 MB at most.
+BROADCAST_SLOTS = 1 << 20
 
 
 def order_key(id_col: Column) -> Column:
@@ -50,118 +64,90 @@ def order_key(id_col: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """(source, source_size) -> also weight, target.
-
-    One row per source passes through one task: the rank and the water level
-    need a total order of sources.
-    """
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", w)
-    by_level = Window.orderBy("level", "rank")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy("level", "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = (
-        ranked.withColumn("level", cap * F.col("source_size") / F.col("weight"))
-        .withColumn("wanted", F.sum("source_size").over(everything) * share)
-        .withColumn("spent", F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0.0)))
-        .withColumn("open_weight", F.sum("weight").over(onward))
-        .withColumn("at", (F.col("wanted") - F.col("spent")) / F.col("open_weight"))
-        # the water level: that of the first source, by level, which isn't filled up
-        .withColumn("water", F.min(F.when(F.col("at") <= F.col("level"), F.struct("level", "rank", "at"))).over(everything)["at"])
-    )
-    filled = F.least(cap * F.col("source_size"), F.coalesce(F.col("water"), F.lit(float("inf"))) * F.col("weight"))
-    return x.select("source", "source_size", "weight", filled.alias("target"))
-
-
-def schedule(targets: DataFrame, block: Column, slots: int = SLOTS) -> DataFrame:
-    """One row per (source, block): words taken before it, whole takes, words of a partial take.
-
-    ``targets`` needs source, source_size, target; ``block`` is the words of a block.
-    """
-    spark = targets.sparkSession
-    by_rank = Window.orderBy(F.col("source").asc_nulls_last())
-    t = targets.withColumn("block", block).withColumn("goal", F.round("target").cast("long"))
-    # slots go by place in the repeated stream: pass r div n_blocks, block r mod n_blocks
-    t = t.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    full = F.floor(F.col("goal") / F.greatest("source_size", F.lit(1))).cast("long")
-    rest = F.col("goal") - full * F.col("source_size")
-    t = t.withColumn("n_slots", F.when(F.col("source_size") == 0, F.lit(0)).otherwise(full * F.col("n_blocks") + F.ceil(rest / F.col("block")).cast("long")))
-    t = t.withColumn("upto", F.sum("n_slots").over(by_rank.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("total", F.sum("n_slots").over(by_rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    t = t.withColumn("lo", F.col("upto") - F.col("n_slots"))
-    # the k-th point falls to the source whose cumulative weight holds it: a
-    # point's cell is an integer, which an equi-join on cells finds
-    cells = t.where("n_slots > 0").select("source", "source_size", "goal", "block", "n_blocks", "n_slots", "total", F.explode(F.sequence("lo", F.col("upto") - 1)).alias("cell"))
-    total = t.agg(F.max("total").alias("total"))
-    points = total.where("total > 0").select("total", F.explode(F.sequence(F.lit(1), F.col("total") * DRAW)).alias("k"))
-    x = F.col("k") * F.lit(PHI)
-    points = points.select("k", F.least(F.floor((x - F.floor(x)) * F.col("total")).cast("long"), F.col("total") - 1).alias("cell"))
-    hits = points.join(cells, "cell")
-    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("k")) - 1).where(F.col("r") < F.col("n_slots"))
-    slot = ranked.select(
-        "source", "source_size", "goal", "block", "n_blocks",
-        (F.col("r") % F.col("n_blocks")).alias("b"), F.floor(F.col("r") / F.col("n_blocks")).cast("long").alias("turn"),
+    """(source, source_size) of each source -> also place (by source, null last), weight and target; saved."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    x = common.save(windows.numbered(sizes, [F.col("source").asc_nulls_last()]).withColumn("weight", w), "mix-sources")
+    full, level = cap * F.col("source_size"), 0.0
+    wanted = (x.agg(F.sum("source_size")).first()[0] or 0) * share
+    while True:
+        above = full < level * F.col("weight")
+        spent, open_weight = x.agg(F.sum(F.when(above, full).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("weight")))).first()
+        new = (wanted - spent) / open_weight if open_weight else float("inf")
+        if new <= level or not open_weight:
+            break
+        level = new
+    target = F.least(full, F.lit(level) * F.col("weight")) if level < float("inf") else full
+    return common.save(x.withColumn("target", target.cast("double")), "mix-targets")
+
+
+def shares(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Adds block (words), n_blocks, n_slots (wanted) and the whole numbers lo and hi between which the source's points fall; saved."""
+    total = targets.agg(F.sum("target")).first()[0] or 0.0
+    common_block = F.lit(max(1, -int(-total // slots)))
+    block = F.greatest(F.lit(1), F.least(common_block, F.floor(F.col("target") / LEAST_SLOTS).cast("long"))).cast("long")
+    x = targets.withColumn("block", block).withColumns({
+        "n_blocks": F.ceil(F.col("source_size") / F.col("block")).cast("long"),
+        "n_slots": F.round(F.col("target") / F.col("block")).cast("long"),
+    })
+    x = common.save(windows.numbered(x.drop("place"), [F.col("source").asc_nulls_last()], ("n_slots",)), "mix-shares")
+    n = x.agg(F.sum("n_slots")).first()[0] or 0
+    x = x.withColumns({"lo": F.expr(f"shiftleft(before_n_slots, 32) div {max(n, 1)}"), "hi": F.expr(f"shiftleft(before_n_slots + n_slots, 32) div {max(n, 1)}")})
+    return x.drop("before_n_slots")
+
+
+def schedule(parts: DataFrame, slots: int, golden: int = GOLDEN) -> DataFrame:
+    """(place, rank, slot): the rank-th slot of the source at ``place``, of the slots 1 to ``slots``."""
+    spark = parts.sparkSession
+    bits = max(1, slots.bit_length())
+    shift = 32 - min(31, bits)
+    # a share covers whole cells of a grid as fine as the slots, and parts of two more: few shares lie in one cell
+    held = parts.where("hi > lo").select("place", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift))).alias("cell"))
+    points = spark.range(1, slots + 1).select(F.col("id").alias("slot"), (F.col("id") * golden % (1 << 32)).alias("point"))
+    hits = points.withColumn("cell", F.shiftright("point", shift)).join(held, "cell").where("point >= lo and point < hi")
+    return hits.select("place", (F.row_number().over(Window.partitionBy("place").orderBy("slot")) - 1).cast("long").alias("rank"), "slot")
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, slots: int = SLOTS, golden: int = GOLDEN) -> DataFrame:
+    """Adds size, source_size, target, taken (words the mix takes, repeats counted) and first_slot (that reads of the document first, null if none does) to ``docs``."""
+    docs = docs.drop("size", "source_size", "target", "taken", "first_slot")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    text = F.coalesce("d.text", F.lit(""))
+    name = F.when(F.col("d.source").isNull(), "").otherwise(F.concat(F.lit("="), "d.source"))
+    key = F.when(F.col("d.doc_id").isNotNull(), order_key(F.col("d.doc_id"))).otherwise(F.md5(text.cast("binary")))
+    size = F.regexp_count(text, F.lit(common.WORD)).cast("long")
+    keyed = docs.select(whole).select("d", size.alias("size"), name.alias("name"), key.alias("key"))
+    # (name, key, size) of each document: counts and sums are taken of these, the texts aren't read again for them
+    narrow = common.save(keyed.select(F.col("d.source").alias("source"), "size", "name", F.substring("key", 1, 8).alias("key")), "mix-sizes")
+    sources = narrow.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    targets = source_targets(common.save(sources, "mix-source-sizes"), share, cap, weights)
+    parts = shares(targets, slots)
+    most, total = parts.agg(F.max("n"), F.sum("n_slots")).first()
+    # hexadecimal digits of the key that deal a source into cells
+    digits = next(d for d in range(1, 9) if (most or 0) <= CELL * 16**d or d == 8)
+    hits = common.save(schedule(parts, total or 0, golden), "mix-schedule")
+    won = parts.join(hits.groupBy("place").agg(F.count("*").alias("hits")), "place", "left")
+    reads = F.least(F.coalesce("hits", F.lit(0)), F.floor(F.lit(cap) * F.col("n_blocks")).cast("long"))
+    won = won.withColumn("reads", reads).select(
+        "name", "place", "source_size", "target", "block", "reads", "n_blocks",
+        F.floor(F.col("reads") / F.greatest("n_blocks", F.lit(1))).cast("long").alias("passes"), F.least(F.col("reads") % F.greatest("n_blocks", F.lit(1)) * F.col("block"), "source_size").alias("more"),
     )
-    long_ = F.least(F.col("block"), F.col("source_size") - F.col("b") * F.col("block"))
-    left = F.col("goal") - F.col("turn") * F.col("source_size") - F.col("b") * F.col("block")
-    slot = slot.withColumn("words", F.least(long_, left)).withColumn("whole", F.col("words") == long_)
-    per_block = slot.groupBy("source", "block", "b").agg(
-        F.sum(F.col("whole").cast("long")).alias("times"),
-        F.sum(F.when(~F.col("whole"), F.col("words")).otherwise(0)).alias("part"),
-        F.sum("words").alias("block_taken"),
-    )
-    before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    return per_block.withColumn("before", F.coalesce(F.sum("block_taken").over(before), F.lit(0)))
-
-
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, slots: int = SLOTS) -> DataFrame:
-    """Adds size, source_size, target and taken (words the mix takes, repeats counted) to ``docs``."""
-    docs = docs.drop("size", "source_size", "target", "taken")
-    keyed = (
-        docs.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long"))
-        .withColumn("_key", order_key(F.col("doc_id")))
-        .withColumn("_deal", F.substring("_key", 1, DEAL_DIGITS))
-        .withColumn("_name", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
-    )
-    # words of each cell (source, leading digits of the order key): counts, not rows, are ordered globally
-    cells = common.save(keyed.groupBy("source", "_name", "_deal").agg(F.sum("size").alias("cell_size")), "mix-cells")
-    sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
-    targets = common.save(source_targets(sources, share, cap, weights), "mix-targets")
-    want = targets.agg(F.sum("target").alias("want"))
-    block = F.greatest(F.lit(1), F.ceil(F.col("want") / slots).cast("long"))
-    blocks = common.save(schedule(targets.crossJoin(F.broadcast(want)), block, slots), "mix-blocks")
 
+    # cells of all sources, with the words before them and their source's part in the schedule
+    deal = F.substring("key", 1, digits).alias("deal")
+    cells = narrow.groupBy("name", deal).agg(F.sum("size").alias("cell_size"))
+    ahead = Window.partitionBy("name").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
+    cells = common.save(cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0))).drop("cell_size").join(won, "name"), "mix-cells")
+    within = Window.partitionBy("name", "deal").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     # the window and the join share one partitioning by cell, so whole rows move once
-    ahead = Window.partitionBy("_name").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("_name", "_deal", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_name", "_deal").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn("_end", F.sum("size").over(within)).join(offsets, ["_name", "_deal"])
-    placed = placed.withColumn("_end", F.col("_end") + F.col("_offset")).withColumn("_start", F.col("_end") - F.col("size"))
-
-    size = want.select(F.greatest(F.lit(1), F.ceil(F.col("want") / slots).cast("long")).alias("_block"))
-    small = lambda x: F.broadcast(x) if blocks.count() <= BROADCAST_ROWS else x
-    placed = placed.crossJoin(F.broadcast(size))
-    placed = placed.withColumn("_b0", F.floor(F.col("_start") / F.col("_block")).cast("long"))
-    placed = placed.withColumn("_b1", F.floor(F.greatest(F.col("_end") - 1, F.col("_start")) / F.col("_block")).cast("long"))
-    for end in ("0", "1"):
-        side = blocks.select(F.col("source").alias("_s"), F.col("b").alias("_b"), *[F.col(c).alias(f"_{c}{end}") for c in ("before", "times", "part")])
-        placed = placed.join(small(side), F.col("source").eqNullSafe(F.col("_s")) & (F.col(f"_b{end}") == F.col("_b")), "left").drop("_s", "_b")
-
-    def upto(at: str, end: str) -> Column:
-        """Words that the mix takes from the source's stream before place ``at``."""
-        into = F.col(at) - F.col(f"_b{end}") * F.col("_block")
-        return F.col(f"_before{end}") + F.col(f"_times{end}") * into + F.least(into, F.col(f"_part{end}"))
-
-    t = targets.select(F.col("source").alias("_s"), "source_size", "target")
-    few = lambda x: F.broadcast(x) if targets.count() <= BROADCAST_ROWS else x
-    placed = placed.join(few(t), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    # blocks past the last slot aren't scheduled; what lies there is taken no more
-    lo = F.coalesce(upto("_start", "0"), F.lit(None).cast("long"))
-    hi = F.coalesce(upto("_end", "1"), F.least(F.round("target").cast("long"), F.lit(2**62)))
-    taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce(hi - lo, F.lit(0))).cast("long")
-    return placed.withColumn("taken", taken).select(*docs.columns, "size", "source_size", "target", "taken")
+    placed = keyed.withColumn("deal", deal).withColumn("end", F.sum("size").over(within)).join(cells, ["name", "deal"])
+    placed = placed.withColumn("end", F.col("end") + F.col("offset")).withColumn("start", F.col("end") - F.col("size"))
+    upto = lambda c: F.col("passes") * F.col(c) + F.least(F.col(c), F.col("more"))
+    placed = placed.withColumn("taken", (upto("end") - upto("start")).cast("long")).withColumn("rank", F.floor(F.col("start") / F.col("block")).cast("long"))
+    first = hits.withColumnRenamed("slot", "first_slot")
+    placed = placed.join(F.broadcast(first) if (total or 0) <= BROADCAST_SLOTS else first, ["place", "rank"], "left")
+    return placed.select("d.*", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("first_slot")).alias("first_slot"))
 
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:
-    return mix(common.read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    x = mix(common.read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return x.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")

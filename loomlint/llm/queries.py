@@ -21,9 +21,7 @@ MODULES = {
     "op10_simhash": "simhash",
 }
 
-#: The words a mix takes follow from targets and the order of the documents
-#: alone: each source's stream of words, repeated, is taken up to its target.
-#: The schedule of the operator only decides when a block is read.
+#: Slot by slot: every golden-ratio point falls into one source's share, and each slot reads a block.
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -40,15 +38,24 @@ w AS (
   FROM l),
 a AS (SELECT *, ((wanted - spent) / open_weight)::DOUBLE AS water FROM w),
 f AS (SELECT water FROM a WHERE water <= level ORDER BY level, rk LIMIT 1),
-t AS (SELECT a.source, a.source_size, least(2.0 * a.source_size, coalesce((SELECT water FROM f), 'inf'::DOUBLE) * a.weight)::DOUBLE AS target FROM a),
-p AS (
-  SELECT d.doc_id, d.size, d.source, t.source_size, t.target, round(t.target)::BIGINT AS goal,
-         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS hi
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, source,
-       (greatest(0, least(hi, goal) - (hi - size)) * (hi - size < goal)::INT
-        + greatest(0, least(hi + source_size, goal) - (hi - size + source_size)) * (hi - size + source_size < goal)::INT)::BIGINT AS taken
-FROM p
+t AS (SELECT rk, source, source_size, least(2.0 * source_size, coalesce((SELECT water FROM f), 'inf'::DOUBLE) * weight)::DOUBLE AS target FROM a),
+b AS (SELECT *, greatest(1, least(ceil((SELECT sum(target) FROM t) / 65536), floor(target / 1024)))::BIGINT AS block FROM t),
+n AS (SELECT *, ceil(source_size / block)::BIGINT AS n_blocks, round(target / block)::BIGINT AS n_slots FROM b),
+c AS (SELECT *, (sum(n_slots) OVER (ORDER BY rk) - n_slots)::BIGINT AS ahead, (sum(n_slots) OVER ())::BIGINT AS slots FROM n),
+h AS (SELECT *, (ahead * 4294967296) // slots AS lo, ((ahead + n_slots) * 4294967296) // slots AS hi FROM c WHERE slots > 0),
+k AS (SELECT unnest(range(1, (SELECT max(slots) FROM c) + 1)) AS slot),
+p AS (SELECT slot, (slot * 2654435769) % 4294967296 AS point FROM k),
+q AS (SELECT h.rk, slot, row_number() OVER (PARTITION BY h.rk ORDER BY slot) - 1 AS turn FROM p JOIN h ON point >= lo AND point < hi),
+v AS (SELECT q.rk, turn % n_blocks AS blk, min(slot) AS first_slot, count(*) AS times FROM q JOIN n USING (rk) WHERE turn < 2 * n_blocks GROUP BY ALL),
+g AS (SELECT d.doc_id, d.size, d.source, n.rk, n.source_size, n.target, n.block,
+             (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS hi
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source),
+x AS (SELECT *, unnest(range((hi - size) // block, (hi - 1) // block + 1)) AS blk FROM g WHERE size > 0),
+o AS (SELECT x.doc_id, x.source, x.hi, sum(coalesce(times, 0) * (least(x.hi, (x.blk + 1) * block) - greatest(x.hi - size, x.blk * block)))::BIGINT AS taken,
+             min(CASE WHEN x.blk = (x.hi - size) // block THEN first_slot END) AS first_slot
+      FROM x LEFT JOIN v ON x.rk = v.rk AND x.blk = v.blk GROUP BY ALL)
+SELECT g.doc_id, g.size, g.source_size, g.target, g.source, coalesce(taken, 0)::BIGINT AS taken, first_slot
+FROM g LEFT JOIN o ON g.doc_id = o.doc_id AND g.source IS NOT DISTINCT FROM o.source AND g.hi = o.hi AND g.size > 0
 """
 
 
