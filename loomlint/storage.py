@@ -49,7 +49,7 @@ def scope() -> Iterator[list[DataFrame]]:
     try:
         yield made
     finally:
-        _scopes.remove(made)
+        _scopes.pop()
 
 
 def discard(*saved: DataFrame) -> None:
