@@ -22,6 +22,9 @@ one lose their tag alone.
 Character references are decoded once, white space inside a block becomes one
 space, and main blocks are joined in page order by one space.
 
+Reading a page takes time in proportion to its length, however its elements are
+nested, left open or closed.
+
 Defined results: null and empty pages, and pages without a main block, have
 empty text; a page of bare text is one block; a tag or comment that the end of
 the page cuts off is dropped; repeated rows get equal texts; an empty table
@@ -34,7 +37,7 @@ import functools
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -57,8 +60,8 @@ BATCH = 64
 RATE = 0.02
 #: Padded blocks that the network reads at a time.
 CELLS = 200_000
-#: Elements of a path that its vector counts, from the leaf up.
-DEPTH = 32
+#: Open elements that a path's vector counts: all, or this many where more are open, of which so many are the outermost.
+DEPTH, OUTER = 32, 8
 
 # Fixed values of HTML: elements without content, raw text, inline text, and
 # what the start of an element closes.
@@ -95,12 +98,17 @@ def _slot(token: str) -> int:
     return crc32(token.encode()) % PATH_SLOTS
 
 
-@functools.lru_cache(100_000)
 def _tokens(name: str, attrs: str) -> tuple[int, ...]:
-    out = [_slot(name)]
-    for kind, a, b, c in _NAMED.findall(attrs):
-        out += [_slot(f".{p.lower()}") for p in _PART.findall(a or b or c)]
-    return tuple(out)
+    return _kept_tokens(name, attrs) if len(attrs) <= 200 else _new_tokens(name, attrs)
+
+
+def _new_tokens(name: str, attrs: str) -> tuple[int, ...]:
+    """Slots of an element's name and of the parts of its classes, ids and roles, each part once."""
+    marks = dict.fromkeys(_slot(f".{p.lower()}") for _, a, b, c in _NAMED.findall(attrs) for p in _PART.findall(a or b or c))
+    return (_slot(name), *marks)
+
+
+_kept_tokens = functools.lru_cache(100_000)(_new_tokens)
 
 
 def blocks(page: str) -> list[Block]:
@@ -112,6 +120,11 @@ def blocks(page: str) -> list[Block]:
     leaf, linked, links, at = "", 0, 0, 0
     foreign, apart, began = 0, 0, 0
     endless: set[str] = set()
+    #: Places in the stack of the open elements of each name, and of those that aren't inline.
+    places: dict[str, list[int]] = {}
+    solid: list[int] = []
+    #: No tag ends beyond this; a search further on would only find that out again and again.
+    limit = page.rfind(">") + 1
 
     def flush() -> None:
         nonlocal parts, linked
@@ -130,28 +143,47 @@ def blocks(page: str) -> list[Block]:
         if parts and apart != began:
             flush()
         if not parts:
-            path = [t for _, tokens in stack[-DEPTH:] for t in tokens]
-            leaf = next((n for n, _ in reversed(stack) if n not in INLINE), "")
+            near = stack if len(stack) <= DEPTH else [*stack[:OUTER], *stack[OUTER - DEPTH :]]
+            path = [t for _, tokens in near for t in tokens]
+            leaf = stack[solid[-1]][0] if solid else ""
             began = apart
         parts.append(text)
         if links:
             linked += len(text)
 
+    def push(name: str, tokens: tuple[int, ...]) -> None:
+        nonlocal links, foreign, apart
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            solid.append(len(stack))
+        stack.append((name, tokens))
+        links += name == "a"
+        foreign += name in FOREIGN
+        apart += name in CLEAR and name != "math"
+
     def pop(to: int) -> None:
         nonlocal links, foreign, apart
-        links -= sum(n == "a" for n, _ in stack[to:])
-        foreign -= sum(n in FOREIGN for n, _ in stack[to:])
-        apart -= sum(n in CLEAR and n != "math" for n, _ in stack[to:])
-        del stack[to:]
+        while len(stack) > to:
+            name, _ = stack.pop()
+            places[name].pop()
+            if name not in INLINE:
+                solid.pop()
+            links -= name == "a"
+            foreign -= name in FOREIGN
+            apart -= name in CLEAR and name != "math"
+
+    def top(names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     def skip(name: str) -> re.Match | None:
         """The next end tag of a raw element; one that is missing is sought once."""
-        end = None if name in endless else _END[name].search(page, at)
+        end = None if name in endless else _END[name].search(page, at, limit)
         if not end:
             endless.add(name)
         return end
 
-    while m := _TAG.search(page, at):
+    while m := _TAG.search(page, at, limit):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
@@ -171,30 +203,19 @@ def blocks(page: str) -> list[Block]:
         if foreign and name in DRAWN:
             continue
         if m["end"] or m["end2"]:
-            if name in INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            else:
+            # an inline element is closed up to the next block only
+            if name not in INLINE:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        break
+            if (i := top((name,))) > (solid[-1] if solid and name in INLINE else -1):
+                pop(i)
             continue
         if (foreign and name in RAW or name in FOREIGN) and attrs.endswith("/"):
             continue
         if name in CLEAR:
-            stack.append((name, _tokens(name, attrs)[1:]))
-            foreign += name in FOREIGN
-            apart += name != "math"
+            push(name, _tokens(name, attrs)[1:])
             continue
         if name in INLINE and name not in VOID:
-            stack.append((name, _tokens(name, attrs)))
-            links += name == "a"
+            push(name, _tokens(name, attrs))
             continue
         if name in RAW:
             if end := skip(name):
@@ -207,22 +228,14 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         flush()
-        for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-            if stack[i][0] == "p":
-                pop(i)
-                break
-            if stack[i][0] not in INLINE:
-                break
+        if solid and stack[solid[-1]][0] == "p":  # a block ends an open paragraph
+            pop(solid[-1])
         if name in CLOSES:
             shut, within = CLOSES[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    pop(i)
-                    break
-                if stack[i][0] in within:
-                    break
+            if (i := top(shut)) > top(within):
+                pop(i)
         if not attrs.endswith("/"):
-            stack.append((name, _tokens(name, attrs)))
+            push(name, _tokens(name, attrs))
             if name == "xmp" and (end := skip(name)):
                 if end.start() > at:
                     add(entities.escape(page[at : end.start()]))

@@ -79,5 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .license import oracle
+    from .warc import OP7_SQL
 
-    return {"op3_mix": OP3_SQL, "op8_license": oracle()}
+    return {"op3_mix": OP3_SQL, "op7_warc": OP7_SQL, "op8_license": oracle()}
