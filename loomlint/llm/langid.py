@@ -8,7 +8,11 @@ piecewise linear, which costs a fraction of an exponential.
 
 The network is trained in numpy by backpropagation through time on windows of a
 bounded sample: the first ``PER_LANGUAGE`` documents of each language by a hash
-of the id, ``WINDOWS`` windows of each, by Adam in a fixed order of windows.
+of the id (fewer, but one at least, where all languages have more than
+``DOCUMENTS``), ``WINDOWS`` windows of ``TRAIN_SPAN`` bytes of each, cut from
+texts of any length before they leave the executors, by Adam in a fixed order of
+windows. Every value of lang is learned; positions are labelled in fewer lanes
+as there are more languages.
 
 Learned only from text and lang of rows whose crc32 of the id leaves a
 remainder but 0 modulo 5; nothing but text is read for a prediction.
@@ -16,7 +20,9 @@ remainder but 0 modulo 5; nothing but text is read for a prediction.
 Defined results: null texts and texts without a letter are ``und`` with score
 0; so is every text if nothing could be learned; ties go to the language first
 by code point; repeated rows get equal predictions; rows with a null lang or id
-aren't learned from; an empty table gives an empty result.
+aren't learned from; an empty table gives an empty result; texts of any length are read whole; an id that
+repeats within a language is in the sample once; columns named like an output
+column are replaced, others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,17 +41,17 @@ from . import common
 
 HIDDEN = 12
 SPAN = 128
-#: Windows that are read at a time.
+#: Windows that are read at a time by a model of few languages, and the labels that all lanes and languages may have.
 LANES = 2048
+LABELS = LANES * 16
 PER_LANGUAGE = 300
 WINDOWS = 8
 TRAIN_SPAN = 64
 BATCH = 256
 EPOCHS = 6
 RATE = 0.02
-SAMPLE_BYTES = 200_000
-#: Languages that a model is trained for: those of the most documents.
-LANGUAGES = 256
+#: Documents of the sample, if there aren't more languages.
+DOCUMENTS = 60_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -123,8 +129,9 @@ def windows(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.n
     return x.T, mask.T.astype(np.float32), of
 
 
-def train(sample: list[tuple[bytes, str]]) -> Model | None:
-    sample = [(t, y) for t, y in sample if t]
+def train(sample: list[tuple[list[bytes], str]]) -> Model | None:
+    """Learn from (windows of a text, its language)."""
+    sample = [(cuts, y) for cuts, y in sample if any(cuts)]
     langs = sorted({y for _, y in sample})
     if not langs:
         return None
@@ -132,12 +139,8 @@ def train(sample: list[tuple[bytes, str]]) -> Model | None:
     k, c = HIDDEN, len(langs)
     unit = lambda: Unit(rng.normal(0, 0.3, (256, 3 * k)).astype(np.float32), rng.normal(0, 0.3, (k, 3 * k)).astype(np.float32))
     model = Model(langs, unit(), unit(), rng.normal(0, 0.1, (2 * k, c)).astype(np.float32), np.zeros(c, np.float32))
-    cuts, ys = [], []
-    for text, lang in sample:
-        for _ in range(WINDOWS):
-            at = int(rng.integers(0, max(1, len(text) - TRAIN_SPAN // 2)))
-            cuts.append(text[at : at + TRAIN_SPAN])
-            ys.append(langs.index(lang))
+    number = {lang: i for i, lang in enumerate(langs)}
+    cuts, ys = [w for ws, _ in sample for w in ws], [number[lang] for ws, lang in sample for _ in ws]
     x = np.frombuffer(b"".join(w.ljust(TRAIN_SPAN, b"\0") for w in cuts), np.uint8).reshape(-1, TRAIN_SPAN)
     size, y = np.array([len(w) for w in cuts]), np.array(ys)
     even = len(y) / (c * np.bincount(y, minlength=c))
@@ -172,39 +175,40 @@ def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
     """Mean probabilities over all positions of each text; texts must not be empty."""
     total = np.zeros((len(texts), len(model.langs)))
     x, mask, of = windows(texts, SPAN)
-    for i in range(0, x.shape[1], LANES):
-        p, _ = model.labels(x[:, i : i + LANES], mask[:, i : i + LANES])
-        np.add.at(total, of[i : i + LANES], np.einsum("twc,tw->wc", p, mask[:, i : i + LANES]))
+    lanes = max(1, min(LANES, LABELS // len(model.langs)))
+    for i in range(0, x.shape[1], lanes):
+        p, _ = model.labels(x[:, i : i + lanes], mask[:, i : i + lanes])
+        np.add.at(total, of[i : i + lanes], np.einsum("twc,tw->wc", p, mask[:, i : i + lanes]))
     return total / np.array([max(1, len(t)) for t in texts])[:, None]
 
 
-def sample(docs: DataFrame) -> list[tuple[bytes, str]]:
-    """Texts and languages of at most PER_LANGUAGE documents of each language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")) & F.octet_length("text").between(1, SAMPLE_BYTES))
+def sample(docs: DataFrame) -> list[tuple[list[bytes], str]]:
+    """Windows and languages of at most PER_LANGUAGE documents of each language."""
+    raw = common.utf8("text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")) & (F.octet_length("text") > 0))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return []
-    # twice the share wanted by hash, of which the first are taken: few rows reach the driver
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, int((2 * PER_LANGUAGE + 50) * (1 << 30) / r["n"]) + 1)) for r in counts], "lang string, _below bigint")
-    near = known.join(F.broadcast(share), "lang").where(place < F.col("_below")).select("lang", "doc_id", place.alias("_place"))
-    ids: dict[str, list] = {}
-    for r in sorted(near.distinct().collect(), key=lambda r: (r["lang"], r["_place"], r["doc_id"])):
-        ids.setdefault(r["lang"], []).append(r["doc_id"])
-    few = docs.sparkSession.createDataFrame([(lang, i) for lang, x in ids.items() for i in x[:PER_LANGUAGE]], docs.select("lang", "doc_id").schema)
-    rows = known.join(F.broadcast(few), ["lang", "doc_id"]).select("lang", "doc_id", common.utf8("text").alias("_bytes")).collect()
-    return [(bytes(r["_bytes"]), r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], bytes(r["_bytes"])))]
+    counts = common.save(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(1, min(PER_LANGUAGE, DOCUMENTS // max(1, counts.count())))
+    # twice the share wanted by hash, of which the first are taken: few rows are shuffled, and fewer reach the driver
+    share = counts.select("lang", F.least(F.lit(1 << 30), F.floor(F.lit((2 * each + 50) * (1 << 30)) / F.col("n")) + 1).alias("_below"))
+    at = lambda k: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), F.greatest(F.lit(1), F.octet_length("text") - TRAIN_SPAN // 2)).cast("int")
+    cuts = F.array(*[F.substring(raw, at(k) + 1, F.lit(TRAIN_SPAN)) for k in range(WINDOWS)])
+    near = known.select("lang", "doc_id", place.alias("_place"), cuts.alias("_cuts")).join(share, "lang").where("_place < _below")
+    near = near.groupBy("lang", "_place", "doc_id").agg(F.min("_cuts").alias("_cuts"))
+    first = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))).where(F.col("_n") <= each)
+    rows = sorted(first.select("lang", "_n", "_cuts").collect(), key=lambda r: (r["lang"], r["_n"]))
+    return [([bytes(w) for w in r["_cuts"]], r["lang"]) for r in rows]
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred and score to ``docs``."""
     docs = docs.drop("lang_pred", "score")
-    names = docs.columns
+    names, own = docs.columns, common.spare(docs, "_text")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            texts = [x or "" for x in b.column("_text").to_pylist()]
+            texts = [x or "" for x in b.column(own).to_pylist()]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             ask = [i for i, t in enumerate(texts) if model is not None and _LETTER.search(t)]
             if ask:
@@ -213,7 +217,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     lang[i], score[i] = model.langs[int(row.argmax())], min(1.0, float(row.max()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.withColumn("_text", F.col("text")).mapInArrow(run, schema)
+    return docs.withColumn(own, F.col("text")).mapInArrow(run, schema)
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

@@ -114,3 +114,66 @@ def test_articles_keep_formulas_and_listings(spark):
     got = {r["page_id"]: r["main_text"] for r in html.extract(df).collect()}
     for i, found in enumerate(cases.values()):
         assert got[i].count(words) >= 2 and found in got[i] and "copyright" not in got[i]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    from loomlint.llm import html
+
+    n = 50_000
+    for p in ("<b>" * n + "</i>" * n, "<div>" * n + "</x>" * n, "<a " * n, "<i><div>" + "<b>" * n + "</i>" * n, "<b>x" * n, "<script>" + "</script " * n, "<table>" + "<b>" * n + "<td>" * n, "<svg>" * n + "</math>" * n, "<li><p>" * n):
+        began = time.perf_counter()
+        html.blocks(p)
+        assert time.perf_counter() - began < 2, p[:20]
+
+
+def test_network_against_a_plain_one():
+    """Labels of pages read together equal those of one page read block by block."""
+    import random
+
+    import numpy as np
+
+    from loomlint.llm import html
+
+    net, rng = html.Net(np.random.default_rng(2)), random.Random(5)
+    pages = [html.blocks(html.example(rng)[0]) for _ in range(6)]
+    got = net.label(pages)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for page, p in zip(pages, got):
+        v = net.embed(html.Inputs([page])).astype(float)
+
+        def states(way, rows):
+            k, h, c, out = html.HIDDEN, np.zeros(html.HIDDEN), np.zeros(html.HIDDEN), []
+            for x in rows:
+                g = x @ net.p[f"{way}_in"] + net.p[f"{way}_b"] + h @ net.p[f"{way}_re"]
+                c = sig(g[:k]) * c + sig(g[k : 2 * k]) * np.tanh(g[3 * k :])
+                h = sig(g[2 * k : 3 * k]) * np.tanh(c)
+                out.append(h)
+            return out
+
+        both = [np.concatenate(x) for x in zip(states("ahead", v), states("back", v[::-1])[::-1])]
+        assert np.allclose(p, [sig(x @ net.p["out"] + net.p["bias"][0]) for x in both], atol=1e-4)
+
+
+def test_hand_written_layouts():
+    """Pages that the rules of ``example`` didn't write."""
+    from loomlint.llm import html
+
+    body = "The harbour was quiet in the morning, and the boats lay low in the water. Nobody had expected the storm to turn so late in the year."
+    more = "By noon the first crews returned, tired but unharmed, with stories that the town would tell for years to come."
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/c>Contact</a></li></ul></nav>"
+    foot = "<footer><p>Copyright 2024 The Daily. All rights reserved.</p><p><a href=/p>Privacy</a></p></footer>"
+    pages = {
+        f"<html><body>{menu}<main><article><h1>After the storm</h1><p>{body}</p><p>{more}</p></article></main>{foot}</body></html>": f"After the storm {body} {more}",
+        f"<body><header><a href=/>The Daily</a></header><div id=content><h1>After the storm</h1><p>{body}</p><aside class=sidebar><a href=/x>Related: more storms</a></aside><p>{more}</p></div>{foot}": f"After the storm {body} {more}",
+        f"<body>{menu}<div class=article><p>{body}<p>{more}</div><section class=comments><h3>Comments</h3><div class=comment><p>Anna wrote:</p><p>I was there, and it was terrible.</p></div></section>{foot}</body>": f"{body} {more}",
+        f"<body><div class='cookie-banner'>We use cookies. <button>Accept</button></div><article><p>{body}</p><blockquote>{more}</blockquote></article><form class=search><label>Search</label><input></form>{foot}": f"{body} {more}",
+    }
+    got = html.main_texts(html.train(), list(pages))
+    total = right = 0
+    for text, want in zip(got, pages.values()):
+        a, b = text.split(), want.split()
+        right += 2 * len([w for w in a if w in b])
+        total += len(a) + len(b)
+    assert right / total > 0.9, list(zip(got, pages.values()))

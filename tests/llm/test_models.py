@@ -1,6 +1,7 @@
 """Learned operators: exact parts against brute force, held-out accuracy, odd rows."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -59,6 +60,24 @@ def test_toxicity(spark, odd):
     assert got[0, 0] >= 0.97 * (got[0, 0] + got.get((0, 1), 0)) and got[1, 1] >= 0.75 * (got[1, 1] + got.get((1, 0), 0))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     spans = x.join(docs, "doc_id").where("size(spans) > 0").select(F.explode("spans").alias("s"), "text").select(F.expr("lower(substring(text, cast(s.start + 1 as int), cast(s.end - s.start as int)))").alias("w"))
+    # a plain field, word by word, gives the same scores
+    field = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {r["doc_id"]: r["score"] for r in x.collect()}
+    A = np.exp(field.trans)
+    for r in docs.where("doc_id < 40").collect():
+        e = [np.exp(np.clip(field.word_score(w), -30, 30)) for w in toxicity.words_of((r["text"] or "").encode())]
+        ahead, back = [], [np.ones(2)]
+        for i, v in enumerate(e):
+            a = np.array([1.0, np.exp(field.start)]) if not i else ahead[-1] @ A
+            a = a * [1.0, v]
+            ahead.append(a / a.sum())
+        for v in e[:0:-1]:
+            b = A @ (back[0] * [1.0, v])
+            back.insert(0, b / b.sum())
+        p = np.array([(a * b / (a * b).sum())[1] for a, b in zip(ahead, back)])
+        top, mass = min(1 - 1e-4, max([1e-4, *p])), p.sum() if len(p) else 0.0
+        z = field.head @ [1.0, np.log(top / (1 - top)), np.log1p(mass)]
+        assert abs(scores[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-4
     words = {r["w"]: r["count"] for r in spans.groupBy("w").count().collect()}
     assert max(words, key=words.get).isalpha() and len(words) < 60
     field = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
@@ -69,6 +88,18 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd.limit(0), field).count() == 0
 
 
+def test_toxicity_in_all_languages(spark):
+    from loomlint.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    x = toxicity.op1_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    got = {(r["lang"], r["toxic"]): (r["n"], r["hit"]) for r in x.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("hit")).collect()}
+    assert all(got[lang, 0][1] <= 0.03 * got[lang, 0][0] for lang in ("en", "de", "fr", "es"))
+    for lang, least in (("en", 0.85), ("de", 0.75), ("fr", 0.8), ("es", 0.5)):
+        assert got[lang, 1][1] >= least * got[lang, 1][0], (lang, got)
+
+
 def test_backpropagation_matches_differences():
     from loomlint.llm import langid
 
@@ -116,6 +147,68 @@ def test_langid(spark, odd):
     assert langid.predict(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_langid_against_a_plain_network(spark):
+    """Predictions equal those of a network read byte by byte; every language is learned, from long documents too."""
+    from loomlint.llm import langid
+
+    rows = [(i, f"{'abc xyz' if i % 2 else 'kqj vww'} " * (1 if i < 40 else 50_000), f"l{i % 2}" if i < 40 else "long") for i in range(44)] + [(100 + i, f"w{i} " * 20, f"rare{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = langid.sample(docs)
+    assert {y for _, y in sample} == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5} and all(len(w) <= langid.TRAIN_SPAN for ws, _ in sample for w in ws)
+    model = langid.train(langid.sample(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200")))
+    texts = ["Ein kurzer Satz.", "é", "the " * 100, "x" * 129, "mañana 12"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+
+    def states(unit, bs):
+        k, h, out = unit.recur.shape[0], np.zeros(unit.recur.shape[0]), []
+        for b in bs:
+            u, v = unit.table[b], h @ unit.recur
+            r, z = (np.clip(0.2 * (u[i * k : (i + 1) * k] + v[i * k : (i + 1) * k]) + 0.5, 0, 1) for i in (0, 1))
+            n = np.tanh(u[2 * k :] + r * v[2 * k :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    for r in got:
+        raw, total = texts[r["doc_id"]].encode(), 0
+        for i in range(0, len(raw), langid.SPAN):
+            w = raw[i : i + langid.SPAN]
+            for a, b in zip(states(model.ahead, w), states(model.back, w[::-1])[::-1]):
+                y = np.exp(np.concatenate([a, b]) @ model.out + model.bias)
+                total = total + y / y.sum()
+        p = total / len(raw)
+        assert model.langs[int(p.argmax())] == r["lang_pred"] and abs(p.max() - r["score"]) < 1e-3
+
+
+def test_quality_against_plain_counts(spark, monkeypatch):
+    """Weights, scores and verdicts from plain counts; broadcast or shuffled, trusted ids count alike."""
+    from loomlint.llm import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id " * 30), (1, None)], "doc_id bigint, text string"))
+    model = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert np.array_equal(quality.fit(docs, labels).weight, model.weight)
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    raw, trusted = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    rows = docs.collect()
+
+    def buckets(text):
+        h = [zlib.crc32(w) for w in (text or "").encode().split()]
+        return [x % quality.BUCKETS for x in h] + [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 >> 32) % quality.BUCKETS for a, b in zip(h, h[1:])]
+
+    for r in rows:
+        for b in buckets(r["text"]):
+            raw[b] += 1
+            trusted[b] += r["doc_id"] in good
+    weight = np.log((trusted + 1) / (trusted.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    assert np.allclose(weight, model.weight)
+    for r in quality.score(docs, model).collect():
+        b = buckets(r["text"])
+        want = weight[b].mean() if b else 0.0
+        assert abs(want - r["score"]) < 1e-9 and r["kept"] == (not r["base_failed"] and r["score"] >= model.threshold)
+
+
 def test_windows_cover_whole_texts():
     from loomlint.llm import langid
 

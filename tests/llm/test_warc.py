@@ -53,3 +53,39 @@ def test_payloads_and_members(spark, odd_pages, tmp_path):
     assert all(pages[r["page_id"]] == r["payload"] for r in x if r["page_id"]) and len(x) >= 9
     one = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [r["payload"] for r in warc.parse(gzip.compress(one) + gzip.compress(one))] == [b"abc", b"abc"]
+
+
+def test_damaged_archives(spark, odd_pages, tmp_path):
+    from loomlint.llm import warc
+
+    one = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    kinds = lambda data: [r["head"]["WARC-Type"] for r in warc.parse(data)]
+    whole = gzip.compress(one * 3)
+    assert kinds(one * 2) == ["metadata"] * 2 and kinds(whole) == ["metadata"] * 3 and kinds(b"") == []
+    assert kinds(one + one[:-6]) == ["metadata", "damaged"] and kinds(one + one[:30]) == ["metadata", "damaged"]
+    assert kinds(whole + b"trailing bytes") == ["metadata"] * 3 + ["damaged"]
+    assert kinds(gzip.compress(one) + b"\x1f\x8b\x00\x00") == ["metadata", "damaged"]
+    assert kinds(b"WARC/1.0\r\nContent-Length: many\r\n\r\n" + one) == ["damaged", "metadata"]
+    big = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5000000\r\n\r\n" + b"x" * 5_000_000 + b"\r\n\r\n"
+    cut = gzip.compress(one + big)
+    assert [len(r["payload"]) for r in warc.parse(cut)] == [3, 5_000_000] and kinds(cut[: len(cut) // 2]) == ["metadata", "damaged"]
+    # in a table, a damaged archive gives what comes before, and belongs to no capture
+    warc.write(odd_pages.where("page_id < 7"), str(tmp_path / "w"))
+    n = warc.assemble(warc.read(spark, str(tmp_path / "w"))).count()
+    (tmp_path / "w" / "cut.gz").write_bytes(whole + b"zzz")
+    x = warc.read(spark, str(tmp_path / "w"))
+    assert x.where("type = 'damaged'").count() == 1 and warc.assemble(x).count() == n
+
+
+def test_revisits_name_their_response(spark, odd_pages, tmp_path):
+    from loomlint.llm import warc
+
+    warc.write(odd_pages, str(tmp_path / "w"))
+    x = warc.read(spark, str(tmp_path / "w")).collect()
+    ids = {r["id"]: r for r in x}
+    revisits = [r for r in x if r["type"] == "revisit"]
+    assert len(revisits) == 2 and len(ids) == len(x)
+    for r in revisits:
+        to = ids[r["refers_to"]]
+        assert to["type"] == "response" and to["digest"] == r["digest"] and r["headers"]["WARC-Profile"] == warc.PROFILE and not r["payload"]
+        assert r["headers"]["WARC-Refers-To-Target-URI"] == to["uri"]
