@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import common, oracles
+
 #: Query name -> module of this subpackage.
 MODULES = {
     "op1_toxicity": "toxicity",
@@ -73,12 +75,27 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6_quality is fixed by rule, without the learned verdict."""
+    from . import quality
+
+    model = quality.Model(quality.np.zeros(quality.BUCKETS), 0.0)
+    return quality.score(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text", "score", "kept")
+
+
+def _pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9_pii is fixed by rule, without the spans that are discovered."""
+    from . import pii
+
+    return pii.digest(pii.detect(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in MODULES} | {"pipeline": _pipeline}
+    return {name: _query(name) for name in MODULES} | {"pipeline": _pipeline, "q_op6_base": _quality_base, "q_op9_base": _pii_base}
 
 
 def oracle_sql() -> dict[str, str]:
     from .license import oracle
     from .warc import OP7_SQL
 
-    return {"op3_mix": OP3_SQL, "op7_warc": OP7_SQL, "op8_license": oracle()}
+    return {"op2_decontaminate": oracles.OP2, "q_op6_base": oracles.OP6_BASE, "q_op9_base": oracles.OP9_BASE, "op3_mix": OP3_SQL, "op7_warc": OP7_SQL, "op8_license": oracle()}
