@@ -202,12 +202,15 @@ def throw_only(units: DataFrame) -> DataFrame:
     return issue(x, "incomplete-implementation", "throw-only-function", F.when(stub, "error").otherwise("warning"), "implementation", F.when(stub, 0.95).otherwise(0.7), F.col("start_line") + 1, F.col("name"))
 
 
-# Name endings of design patterns; calls of the standard library that return an error.
+# Name endings of design patterns; functions of the standard library that return an error.
 SUFFIXES = (
     "Factory Builder Provider Manager Handler Processor Resolver Strategy Adapter Decorator Observer Singleton Facade "
     "Controller Service Repository Middleware Dispatcher Supervisor Coordinator Registry Wrapper Helper Util Utility Engine"
 ).split()
-FALLIBLE = r"\b(?:os\.(?:Open|Create|ReadFile|WriteFile|MkdirAll|Remove)|net\.(?:Dial|Listen)|http\.(?:Get|Post)|json\.(?:Marshal|Unmarshal)|exec\.Command|ioutil\.\w+)\s*\("
+FALLIBLE = (
+    "os.Chdir os.Chmod os.Mkdir os.MkdirAll os.Remove os.RemoveAll os.Rename os.Setenv os.Symlink os.Truncate os.WriteFile os.Create os.Open "
+    "io.Copy ioutil.WriteFile http.Get http.Post http.ListenAndServe json.Marshal json.Unmarshal net.Dial net.Listen exec.Command"
+).split()
 
 
 def pattern_names(units: DataFrame, most_lines: int = 25, most_methods: int = 2) -> DataFrame:
@@ -225,11 +228,11 @@ def generic_nesting(units: DataFrame, most: int = 3) -> DataFrame:
 
 
 def unhandled_errors(units: DataFrame) -> DataFrame:
-    """Go calls that return an error which nothing on the line takes."""
-    x = units.where("language = 'go'").select("file", "start_line", F.posexplode(C.lines(F.col("source"))).alias("i", "text"))
-    t = F.trim("text")
-    x = x.where(t.rlike(FALLIBLE) & ~t.rlike(r"^(?://|/\*|\*)|\berr\b|:=\s*_\s*,|^if\s") & ~t.rlike(r"return\s+.*(?:os|net|http|json|exec|ioutil)\."))
-    return issue(x, "go-language-specific", "unhandled-error-return", "warning", "implementation", 0.7, F.col("start_line") + F.col("i") + 1, F.substring(F.trim("text"), 1, 100))
+    """Go calls that return an error and stand as statements, so that nothing takes it."""
+    x = units.where("language = 'go'").select("file", "start_line", C.lines(F.col("source")).alias("ls"), F.explode("calls").alias("c")).where(F.col("c.callee").isin(*FALLIBLE))
+    text = F.regexp_replace(F.get("ls", F.col("c.line") - F.col("start_line")), r"^\s+", "")
+    x = x.withColumn("text", text).where(F.regexp_replace("text", r"^(?:defer|go)\s+", "").startswith(F.concat("c.callee", F.lit("("))))
+    return issue(x, "go-language-specific", "unhandled-error-return", "warning", "implementation", 0.7, F.col("c.line") + 1, F.substring("text", 1, 100))
 
 
 def many_bangs(units: DataFrame, least: int = 3) -> DataFrame:
@@ -238,41 +241,80 @@ def many_bangs(units: DataFrame, least: int = 3) -> DataFrame:
     return issue(x, "kotlin-language-specific", "excessive-bang-bang", "warning", "implementation", 0.8, F.col("start_line") + C.line_of(F.col("source"), F.instr("source", "!!") - 1) + 1, F.col("_n").cast("string"))
 
 
-TEST = r"(?m)^\s*(?:it|test|describe)\s*[(.]|^\s*def\s+test_|@Test\b|func\s+Test\w"
-ASSERTED = r"\b(?:expect|assert\w*|should|verify|fail|t\.(?:Error|Errorf|Fatal|Fatalf|Fail)|require\.\w+|rejects|toThrow|pytest\.raises)\b"
-TRIVIAL = r"expect\(\s*(true|1|'[^']*')\s*\)\.(?:toBe|toEqual)\(\s*\1\s*\)|assert(?:True)?\s*\(?\s*[Tt]rue\s*\)?\s*;?\s*$|assertEquals?\(\s*(\d+)\s*,\s*\2\s*\)"
+#: Calls that are a test, and calls that assert, by the last part of the callee.
+TEST_CALLS = ["it", "test", "describe"]
+ASSERTS = "^(?:expect|assert|verify|require|should|fail|check|raises|rejects)"
+GO_FAILS = "^(?:t|b)\\.(?:Error|Fatal|Fail)"
+
+
+def _asserts(c: Column) -> Column:
+    return c["method"].rlike(ASSERTS) | c["callee"].rlike("^(?:assert|require|expect)\\.") | c["callee"].rlike(GO_FAILS)
+
+
+def tests_of(units: DataFrame) -> DataFrame:
+    """Units that are or hold tests: they call a test function, or are named or annotated as one."""
+    runs = F.exists("calls", lambda c: c["callee"].isin(*TEST_CALLS) | F.split_part(c["callee"], F.lit("."), F.lit(1)).isin(*TEST_CALLS))
+    named = F.col("kind").isin("function", "method") & (F.col("name").rlike("^(?:[Tt]est|should_|when_)") | F.col("source").rlike(r"@Test\b"))
+    held = (F.col("kind") == "file") & F.col("source").rlike(r"(?m)@Test\b|^\s*(?:def test_|func Test)")
+    return units.where(F.col("kind").isin("function", "method", "file") & (runs | named | held))
+
+
+def _of(x: DataFrame, rule: str, severity: str, confidence: float, line: Column | None = None, whole: bool = False) -> DataFrame:
+    return issue(x, "test-antipattern", rule, severity, "context-coherence", confidence, F.col("start_line") + 1 if line is None else line, F.col("name"), F.col("end_line") + 1 if whole else None)
 
 
 def test_rules(units: DataFrame) -> DataFrame:
-    """Tests without assertion, trivially true, that swallow errors, or named twice."""
-    name = r"(?i)^(?:test_|test$|it$|should_|when_|describe$)"
-    bare = F.filter(F.transform(C.lines(F.col("source")), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^(?://|#|\*|it|test|describe|\}\);?|def\s|@Test|func\s+Test|with\s)"))
-    t = units.where("kind in ('function', 'method', 'file')").where(F.col("name").rlike(name) | F.col("source").rlike(TEST))
-    empty = issue(t.where(~F.col("source").rlike(ASSERTED)), "test-antipattern", "empty-test-body", "error", "context-coherence", 0.9, F.col("start_line") + 1, F.col("name"), F.col("end_line") + 1)
-    at = F.regexp_instr("source", F.lit(f"(?m){TRIVIAL}"))
-    trivial = t.withColumn("_at", at).where("_at > 0")
-    trivial = issue(trivial, "test-antipattern", "trivially-true", "warning", "context-coherence", 0.85, F.col("start_line") + C.line_of(F.col("source"), F.col("_at")) + 2, F.col("name"))
-    swallow = t.where(F.col("source").rlike(r"(?s)try\s*\{[^}]*\}\s*catch\s*\([^)]*\)\s*\{(?:(?!expect|assert|fail|throw|rejects).)*?\}"))
-    swallow = issue(swallow, "test-antipattern", "swallowing-try-catch", "warning", "context-coherence", 0.75, F.col("start_line") + 1, F.col("name"))
-    only = t.where(F.col("source").rlike(r"(?m)\.not\.toThrow\(\s*\)\s*;?\s*$|^\s*(?:with\s+)?self\.assert(?:Not)?Raises?\(\s*(?:Exception|Error)|^\s*assert(?:DoesNotThrow|NotThrows)\s*\(") & (F.size(bare) <= 1))
-    only = issue(only, "test-antipattern", "no-throw-only", "info", "context-coherence", 0.6, F.col("start_line") + 1, F.col("name"), F.col("end_line") + 1)
+    """Tests without assertion, trivially true, that swallow errors, that only ask for no error, or named twice."""
+    t = tests_of(units)
+    python_assert = (F.col("language") == "python") & F.col("source").rlike(r"(?m)^\s*assert\b")
+    empty = _of(t.where(~F.exists("calls", _asserts) & ~python_assert), "empty-test-body", "error", 0.9, whole=True)
+
+    # an assertion whose two sides are one literal, or that asserts a literal truth
+    literal = r"(?:true|True|false|False|null|None|\d+|'[^']*'|\"[^\"]*\")"
+    same = rf"\b\w*(?:expect|assert)\w*\s*\(\s*({literal})\s*(?:,|\)\s*\.\s*\w+\s*\()\s*\1\s*\)"
+    truth = r"\bassert(?:True|That)?\s*\(?\s*[tT]rue\s*\)?\s*;?\s*$"
+    lines = t.select("file", "name", "start_line", F.posexplode(C.lines(F.col("source"))).alias("i", "text")).where(F.col("text").rlike(f"{same}|{truth}"))
+    trivial = _of(lines.groupBy("file", "name", "start_line").agg(F.min("i").alias("i")), "trivially-true", "warning", 0.85, F.col("start_line") + F.col("i") + 1)
+
+    # a handler that neither asserts nor passes the error on
+    handlers = F.concat(F.regexp_extract_all("source", F.lit(r"\bcatch\b[^{]*\{([^{}]*)\}"), F.lit(1)), F.regexp_extract_all("source", F.lit(r"(?m)^\s*except\b[^\n]*:\s*\n\s*([^\n]*)"), F.lit(1)))
+    quiet = F.exists(handlers, lambda h: ~h.rlike(r"(?i)assert|expect|fail|throw|raise|reject|done\("))
+    swallowed = _of(t.where(quiet), "swallowing-try-catch", "warning", 0.75)
+
+    # every assertion is one that nothing was thrown
+    asked = F.filter("calls", _asserts)
+    unthrown = F.regexp_count("source", F.lit(r"\.\s*not\s*\.\s*toThrow\w*\("))
+    none = F.size(F.filter(asked, lambda c: c["method"].rlike("(?i)(?:not|no)throws?"))) + unthrown
+    only = _of(t.where((unthrown + F.size(F.filter("calls", lambda c: c["method"].rlike("(?i)not.?throw"))) > 0) & (none >= F.size(F.filter(asked, lambda c: ~c["method"].rlike("^to"))))), "no-throw-only", "info", 0.6, whole=True)
+
     titles = units.where("kind = 'file'").select("file", F.posexplode(C.lines(F.col("source"))).alias("line", "text"))
-    titles = titles.select("file", "line", F.regexp_extract("text", r"\b(?:it|test)\s*\(\s*['\"`]([^'\"`]+)['\"`]", 1).alias("title")).where("title <> ''")
+    titles = titles.select("file", "line", F.regexp_extract("text", r"\b(?:it|test)\s*\(\s*(['\"`])(.+?)\1", 2).alias("title")).where("title <> ''")
     again = titles.withColumn("_r", F.row_number().over(Window.partitionBy("file", "title").orderBy("line"))).where("_r > 1")
     again = issue(again, "test-antipattern", "duplicate-description", "warning", "context-coherence", 0.8, F.col("line") + 1, F.col("title"))
-    return empty.unionByName(trivial).unionByName(swallow).unionByName(only).unionByName(again)
+    return empty.unionByName(trivial).unionByName(swallowed).unionByName(only).unionByName(again)
 
 
-KEYWORDS = {"throw": r"(?i)\b(?:toThrow|throws?|assertThrows|rejects)", "reject": r"(?i)\breject", "error": r"(?i)\b(?:toThrow|throws?|rejects|error)", "empty": r"(?i)toHaveLength\(0\)|length\s*===?\s*0|toEqual\(\s*\[\s*\]\)|toBeEmpty", "null": r"(?i)toBeNull|\(null\)|assertNull", "undefined": r"(?i)toBeUndefined|\(undefined\)"}
+#: What a title promises, by the first of its words found here, and what of it a test's lines would show.
+PROMISES = {
+    "throw": r"(?i)throw|reject|raises|catch\b",
+    "reject": r"(?i)reject|throw|catch\b",
+    "error": r"(?i)error|throw|reject|status\w*\W+[45]\d\d",
+    "empty": r"(?i)empty|\[\s*\]|\{\s*\}|''|\"\"|\b0\b|falsy",
+    "null": r"(?i)null|\bnil\b|none\b",
+    "undefined": r"(?i)undefined|defined",
+}
 
 
 def description_mismatches(units: DataFrame) -> DataFrame:
-    """Test titles that promise what the test's lines don't assert; the first keyword only."""
-    rule = r"(?s)\b(?:it|test)\s*\(\s*['\"`][^'\"`]+['\"`]\s*,.*?(?=\n\s*(?:it|test|describe)\s*\(|$)"
-    x = units.where("kind = 'file' and language in ('typescript', 'javascript')").select("file", F.explode(F.regexp_extract_all("source", F.lit(rule), F.lit(0))).alias("t"), "source")
-    x = x.withColumn("title", F.lower(F.regexp_extract("t", r"['\"`]([^'\"`]+)['\"`]", 1)))
-    body = F.regexp_extract("t", r"(?s)['\"`][^'\"`]+['\"`]\s*,(.*)$", 1)
-    hits = F.array(*[F.when(F.col("title").contains(k) & ~body.rlike(v), F.lit(k)) for k, v in KEYWORDS.items()])
-    x = x.withColumn("keyword", F.get(F.filter(hits, lambda h: h.isNotNull()), F.lit(0))).where("keyword is not null")
-    line = F.size(F.split(F.split_part("source", F.col("t"), F.lit(1)), "\n", -1))
-    return issue(x, "test-antipattern", "description-body-mismatch", "info", "context-coherence", 0.6, line, F.concat_ws(": ", "title", "keyword"))
+    """Test titles that promise what the test's lines don't show; the first promise only."""
+    x = units.where("kind = 'file' and language in ('typescript', 'javascript')").select("file", C.lines(F.col("source")).alias("ls"))
+    starts = F.filter(F.transform("ls", lambda s, i: F.struct(i.alias("i"), F.regexp_extract(s, r"^\s*(?:it|test)(?:\.\w+)?\s*\(\s*(['\"`])(.+?)\1", 2).alias("title"), s.rlike(r"^\s*(?:it|test|describe)\b").alias("any"))), lambda s: s["any"])
+    x = x.withColumn("s", starts).select("file", "ls", "s", F.posexplode("s").alias("k", "t")).where("t.title <> ''")
+    # a test reaches to the next one; its title is no evidence
+    stop = F.coalesce(F.get("s", F.col("k") + 1)["i"], F.size("ls"))
+    body = F.array_join(F.slice("ls", F.col("t.i") + 1, stop - F.col("t.i")), "\n")
+    x = x.select("file", F.col("t.i").alias("line"), F.lower("t.title").alias("title"), F.expr("t.title").alias("raw"), body.alias("body"))
+    body = F.substring("body", F.instr("body", F.col("raw")) + F.length("raw"), F.length("body"))
+    first = F.coalesce(*[F.when(F.col("title").contains(k), F.struct(F.lit(k).alias("word"), body.rlike(v).alias("kept"))) for k, v in PROMISES.items()])
+    x = x.withColumn("p", first).where("p is not null and not p.kept")
+    return issue(x, "test-antipattern", "description-body-mismatch", "info", "context-coherence", 0.6, F.col("line") + 1, F.concat_ws(": ", "title", "p.word"))

@@ -44,7 +44,7 @@ def may_match(text: Column, rule: Rule) -> Column:
     """
     if any(x in rule.pattern for x in ("(?=", "(?!", "(?<")):
         return F.lit(True)
-    return text.rlike("(?m)" + rule.pattern)
+    return text.rlike("(?m)" + rule.pattern.replace(r"\A", "^"))
 
 
 def hits(lines: Column, rules: list[Rule], language: Column | None = None, possible: list[Column] | None = None) -> Column:
