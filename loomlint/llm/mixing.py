@@ -54,7 +54,7 @@ LEAST_SLOTS = 1024
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
 #: Documents of a cell, on average.
-CELL = 20_000
+CELL = 1000
 #: Slots of a schedule that is broadcast: 32 MB at most.
 BROADCAST_SLOTS = 1 << 20
 
@@ -110,14 +110,16 @@ def schedule(parts: DataFrame, slots: int, golden: int = GOLDEN) -> DataFrame:
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS, slots: int = SLOTS, golden: int = GOLDEN) -> DataFrame:
     """Adds size, source_size, target, taken (words the mix takes, repeats counted) and first_slot (that reads of the document first, null if none does) to ``docs``."""
     docs = docs.drop("size", "source_size", "target", "taken", "first_slot")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
-    text = F.coalesce("d.text", F.lit(""))
-    name = F.when(F.col("d.source").isNull(), "").otherwise(F.concat(F.lit("="), "d.source"))
-    key = F.when(F.col("d.doc_id").isNotNull(), order_key(F.col("d.doc_id"))).otherwise(F.md5(text.cast("binary")))
+    # columns go by numbers, so that none clashes and those that the caller doesn't want are never moved
+    numbered = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    given = {c.lower(): F.col(n) for c, n in numbered.items()}
+    text = F.coalesce(given["text"], F.lit(""))
+    name = F.when(given["source"].isNull(), "").otherwise(F.concat(F.lit("="), given["source"]))
+    key = F.when(given["doc_id"].isNotNull(), order_key(given["doc_id"])).otherwise(F.md5(text.cast("binary")))
     size = F.regexp_count(text, F.lit(common.WORD)).cast("long")
-    keyed = docs.select(whole).select("d", size.alias("size"), name.alias("name"), key.alias("key"))
+    keyed = docs.toDF(*numbered.values()).select("*", size.alias("size"), name.alias("name"), key.alias("key"))
     # (name, key, size) of each document: counts and sums are taken of these, the texts aren't read again for them
-    narrow = common.save(keyed.select(F.col("d.source").alias("source"), "size", "name", F.substring("key", 1, 8).alias("key")), "mix-sizes")
+    narrow = common.save(keyed.select(given["source"].alias("source"), "size", "name", F.substring("key", 1, 8).alias("key")), "mix-sizes")
     sources = narrow.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(common.save(sources, "mix-source-sizes"), share, cap, weights)
     parts = shares(targets, slots)
@@ -145,7 +147,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS,
     placed = placed.withColumn("taken", (upto("end") - upto("start")).cast("long")).withColumn("rank", F.floor(F.col("start") / F.col("block")).cast("long"))
     first = hits.withColumnRenamed("slot", "first_slot")
     placed = placed.join(F.broadcast(first) if (total or 0) <= BROADCAST_SLOTS else first, ["place", "rank"], "left")
-    return placed.select("d.*", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("first_slot")).alias("first_slot"))
+    return placed.select(*[F.col(n).alias(c) for c, n in numbered.items()], "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("first_slot")).alias("first_slot"))
 
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:
