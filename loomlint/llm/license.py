@@ -68,6 +68,10 @@ def _chain(*values: int) -> int:
     h = 42
     for v in values:
         h = xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), h)
+    return _signed64(h)
+
+
+def _signed64(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -151,9 +155,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, t
     keys = sorted({b for v in banded.values() for b in v})
     none = F.array().cast("array<struct<license:string,containment:double>>")
     own = common.spare(docs, "_found")
+    # a text that lacks the longest word of every short template is not put together for them
+    telling = sorted({_signed64(xxh64_intdigest(max(v.split(" "), key=len).encode(), 42)) for v in short.values()})
     ws = lambda: words(F.coalesce(F.col(text), F.lit("")))
-    hashes = _let(F.transform(ws(), lambda w: F.xxhash64(w)), lambda h: _shingles(h, F.xxhash64)).cast("array<bigint>")
-    x = docs.withColumn(own, _let(hashes, lambda h: retrieved(h, hashed, keys)) if hashed else F.array().cast("array<bigint>"))
+    bands_in = lambda h: _let(_shingles(h, F.xxhash64).cast("array<bigint>"), lambda x: retrieved(x, hashed, keys)) if hashed else F.array().cast("array<bigint>")
+    seen = lambda h: F.struct(bands_in(h).alias("bands"), F.exists(h, lambda v: v.isin(telling)).alias("short"))
+    x = docs.withColumn(own, _let(F.transform(ws(), lambda w: F.xxhash64(w)), seen))
 
     def met(found: Column, values: list[int]) -> Column:
         return F.exists(found, lambda f: f.isin(values))
@@ -166,14 +173,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, t
         return F.filter(F.array(*rows), lambda r: r["containment"] >= CONTAINED)
 
     strings = _let(ws(), lambda w: _shingles(w, lambda *c: F.concat_ws(" ", *c)).cast("array<string>"))
-    matched = _let(F.struct(F.col(own).alias("f"), strings.alias("s")), lambda z: verified(z["f"], z["s"])) if hashed else none
-    licenses = F.when(F.size(own) > 0, matched).otherwise(none)
+    matched = _let(F.struct(F.col(own)["bands"].alias("f"), strings.alias("s")), lambda z: verified(z["f"], z["s"])) if hashed else none
+    licenses = F.when(F.size(F.col(own)["bands"]) > 0, matched).otherwise(none)
     if short:
-        # texts that can't hold any of these, however written, aren't taken apart
-        maybe = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER).rlike("|".join(r"[^a-z0-9]+".join(v.split(" ")) for v in short.values()))
         whole = F.concat(F.lit(" "), F.array_join(ws(), " "), F.lit(" "))
         rows = lambda t: F.array(*[F.struct(F.lit(k).alias("license"), t.contains(f" {v} ").cast("double").alias("containment")) for k, v in short.items()])
-        licenses = F.array_sort(F.concat(licenses, F.when(maybe, _let(whole, lambda t: F.filter(rows(t), lambda r: r["containment"] == 1))).otherwise(none)))
+        licenses = F.array_sort(F.concat(licenses, F.when(F.col(own)["short"], _let(whole, lambda t: F.filter(rows(t), lambda r: r["containment"] == 1))).otherwise(none)))
     return x.withColumn("licenses", licenses).drop(own)
 
 
