@@ -51,6 +51,8 @@ SEED = 42
 RADIUS = 3
 #: Nodes of a tree.
 SHARD = 20_000
+#: Keys (an id and a hash, some 60 MB in all) that may be broadcast.
+BROADCAST_KEYS = 500_000
 #: Numbers of bit blocks, coarse to fine: shards of 16, then of about 32 bits.
 BLOCKS = (4, 6)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -253,8 +255,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by id and a hash of all columns, never by id alone, so
     an id that two classes share loses neither. Only ids and hashes are
-    shuffled to choose; whole rows move once, to meet the chosen keys, and not
-    at all where those are few enough for Spark to broadcast.
+    shuffled to choose. The chosen keys are broadcast while there are
+    ``BROADCAST_KEYS`` at most; more of them meet the whole rows in a shuffle.
     """
     whole = [F.col(f"`{c}`") for c in docs.columns]
     row = F.xxhash64(*[F.to_json(c) if isinstance(docs.schema[n].dataType, (T.MapType, T.VariantType)) else c for n, c in zip(docs.columns, whole, strict=True)])
@@ -263,7 +265,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = common.save(marked.groupBy("root").agg(first).select(F.col("f.doc_id").alias("_id"), F.col("f._hash").alias("_few")), "chosen")
     repeated = not marked.groupBy("doc_id", "_hash").count().where("count > 1").isEmpty()
     key = common.spare(docs, "_hash")
-    kept = docs.withColumn(key, row).join(chosen, (F.col(key) == F.col("_few")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    few = chosen if chosen.count() > BROADCAST_KEYS else F.broadcast(chosen)
+    kept = docs.withColumn(key, row).join(few, (F.col(key) == F.col("_few")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     # rows that are equal in all columns have one key; most tables have none
     return (kept.dropDuplicates(["doc_id", key]) if repeated else kept).drop(key)
 
