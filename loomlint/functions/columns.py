@@ -46,8 +46,8 @@ def is_comment(line: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens of over one character; camelCase and snake_case are split."""
-    split = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "_", " ")
-    return F.filter(F.transform(F.split(split, "[^a-zA-Z0-9]+"), F.lower), lambda t: F.length(t) > 1)
+    split = F.translate(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(split, F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def squeezed(line: Column) -> Column:

@@ -53,6 +53,15 @@ def hallucinated_imports(units: DataFrame, builtins: DataFrame, registry: DataFr
     return issue(x, "hallucinated-import", "potential-hallucination-offline", "warning", "ai-faithfulness", 0.6, F.col("line") + 1, F.col("package"))
 
 
+def registry_deprecated(units: DataFrame, registry: DataFrame | None) -> DataFrame:
+    """Imports of packages that a registry table (language, package, deprecated: a message or null) calls deprecated."""
+    x = imports_of(units).where("not is_relative")
+    if registry is None or "deprecated" not in registry.columns:
+        return issue(x.where("false"), "stale-api", "registry-deprecated", "warning", "code-freshness", 0.9, F.col("line") + 1, F.col("package"))
+    said = registry.where("deprecated is not null and deprecated <> ''").groupBy("language", "package").agg(F.min("deprecated").alias("_why"))
+    return issue(x.join(said, ["language", "package"]), "stale-api", "registry-deprecated", "warning", "code-freshness", 0.9, F.col("line") + 1, F.concat_ws(": ", "package", "_why"))
+
+
 def deprecated_modules(units: DataFrame, table: DataFrame) -> DataFrame:
     """Imports of deprecated modules: the whole module first, then its first segment."""
     x = imports_of(units).withColumn("_top", F.element_at(F.split("module", r"\."), 1))
@@ -83,9 +92,18 @@ def duplicate_functions(units: DataFrame) -> DataFrame:
 
 
 def signature_mismatches(units: DataFrame) -> DataFrame:
-    """Calls of a function of another file with too many or far too few arguments."""
-    defs = units.where("kind = 'function'").select(F.col("name").alias("method"), F.col("file").alias("_file"), F.col("param_count").alias("_n"))
-    x = calls_of(units).join(defs, "method").where((F.col("file") != F.col("_file")) & ((F.col("arg_count") > F.col("_n") + 1) | (F.col("arg_count") < F.col("_n") - 2)))
+    """Calls of a function of another file with too many or far too few arguments, once for each such definition.
+
+    A name's definitions are told apart by their file and number of parameters
+    only, and so are its calls by theirs, before the two meet.
+    """
+    defs = units.where("kind = 'function'").groupBy(F.col("name").alias("method"), F.col("param_count").alias("_n")).agg(F.count("*").alias("_all"))
+    own = units.where("kind = 'function'").groupBy("file", F.col("name").alias("method"), F.col("param_count").alias("_n")).agg(F.count("*").alias("_here"))
+    c = calls_of(units)
+    kinds = c.select("file", "method", "arg_count").distinct()
+    bad = kinds.join(defs, "method").where((F.col("arg_count") > F.col("_n") + 1) | (F.col("arg_count") < F.col("_n") - 2))
+    bad = bad.join(own, ["file", "method", "_n"], "left").groupBy("file", "method", "arg_count").agg(F.sum(F.col("_all") - F.coalesce("_here", F.lit(0))).cast("int").alias("_times")).where("_times > 0")
+    x = c.join(bad, ["file", "method", "arg_count"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return issue(x, "context-coherence", "call-signature-mismatch", "warning", "context-coherence", 0.75, F.col("line") + 1, F.col("callee"))
 
 
@@ -252,11 +270,11 @@ def _asserts(c: Column) -> Column:
 
 
 def tests_of(units: DataFrame) -> DataFrame:
-    """Units that are or hold tests: they call a test function, or are named or annotated as one."""
+    """Functions and methods that are named or annotated as tests or call a test function, and scripts that do."""
     runs = F.exists("calls", lambda c: c["callee"].isin(*TEST_CALLS) | F.split_part(c["callee"], F.lit("."), F.lit(1)).isin(*TEST_CALLS))
     named = F.col("kind").isin("function", "method") & (F.col("name").rlike("^(?:[Tt]est|should_|when_)") | F.col("source").rlike(r"@Test\b"))
-    held = (F.col("kind") == "file") & F.col("source").rlike(r"(?m)@Test\b|^\s*(?:def test_|func Test)")
-    return units.where(F.col("kind").isin("function", "method", "file") & (runs | named | held))
+    script = (F.col("kind") == "file") & F.col("language").isin("typescript", "javascript") & runs
+    return units.where(script | (F.col("kind").isin("function", "method") & (runs | named)))
 
 
 def _of(x: DataFrame, rule: str, severity: str, confidence: float, line: Column | None = None, whole: bool = False) -> DataFrame:

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, token, n, size, first_pos): counted within a task's rows first."""
+def term_counts(docs: DataFrame, key: str, text: str = "text", vocab: DataFrame | None = None) -> DataFrame:
+    """(key, token, n, size, first_pos): counted within a task's rows first.
+
+    Of tokens beyond ``vocab``, a table of few rows, none is shuffled.
+    """
     x = docs.select(key, C.tokens(F.col(text)).alias("_t"))
-    return x.select(key, F.size("_t").alias("size"), F.posexplode("_t").alias("pos", "token")).groupBy(key, "token").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.min("pos").alias("first_pos"))
+    x = x.select(key, F.size("_t").alias("size"), F.posexplode("_t").alias("pos", "token"))
+    if vocab is not None:
+        x = x.join(F.broadcast(vocab.select("token")), "token", "left_semi")
+    return x.groupBy(key, "token").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.min("pos").alias("first_pos"))
 
 
 def idf(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -21,11 +21,11 @@ def occurrences(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def repeated_blocks(docs: DataFrame, key: list[str], size: int = 4, least: int = 10, text: str = "text") -> DataFrame:
     """Blocks of ``size`` lines that repeat the first block of the same text, ``size`` lines on or more."""
-    x = docs.select(*key, C.lines(F.col(text)).alias("_l"))
+    x = docs.select(*key, F.transform(C.lines(F.col(text)), C.squeezed).alias("_l"))
     starts = F.when(F.size("_l") >= size, F.sequence(F.lit(0), F.size("_l") - size)).otherwise(F.array().cast("array<int>"))
 
     def block(i: Column) -> Column:
-        return F.filter(F.transform(F.slice("_l", i + 1, F.lit(size)), C.squeezed), lambda s: F.length(s) >= least)
+        return F.filter(F.slice("_l", i + 1, F.lit(size)), lambda s: F.length(s) >= least)
 
     rows = x.select(*key, F.explode(F.transform(starts, lambda i: F.struct(i.alias("i"), block(i).alias("b")))).alias("r"))
     rows = rows.where(F.size("r.b") >= size - 1).select(*key, F.col("r.i").alias("i"), F.md5(F.array_join("r.b", "\n").cast("binary")).alias("block"))

@@ -91,3 +91,76 @@ class A {
 }
 """),
 ]
+
+#: What a scan of FILES is to report (its own answer, reviewed issue by issue against the sources): file, line, detector, rule, severity, confidence, and by how many units that hold the line.
+EXPECTED = """
+go/main.go 2 language-specific go-deprecated-ioutil warning 0.95 1
+go/main.go 2 stale-api deprecated-module warning 0.9 1
+go/main.go 2 stale-api go:7 warning 0.95 1
+go/main.go 4 language-specific go-ioutil-readfile warning 0.95 2
+go/main.go 4 stale-api go:0 warning 0.95 2
+go/main.go 5 incomplete-implementation go-panic-not-implemented error 0.9 2
+go/main.go 5 language-specific go-panic-in-library warning 0.7 2
+go/main.go 6 go-language-specific unhandled-error-return warning 0.7 2
+java/A.java 1 stale-api java:1 warning 0.85 1
+java/A.java 2 hallucinated-import potential-hallucination-offline warning 0.6 1
+java/A.java 5 language-specific java-empty-catch warning 0.9 3
+java/A.java 6 language-specific java-system-out-println warning 0.85 3
+kt/A.kt 1 hallucinated-import potential-hallucination-offline warning 0.6 1
+kt/A.kt 3 kotlin-language-specific excessive-bang-bang warning 0.8 3
+kt/A.kt 3 language-specific kotlin-bang-bang-chain warning 0.8 3
+kt/A.kt 3 language-specific kotlin-bang-bang-multiple warning 0.85 3
+kt/A.kt 3 language-specific kotlin-bare-println info 0.7 3
+py/main.py 1 stale-api deprecated-module warning 0.9 1
+py/main.py 1 stale-api python:0 warning 0.95 1
+py/main.py 11 incomplete-implementation throw-only-function error 0.95 1
+py/main.py 12 incomplete-implementation python-raise-not-implemented error 0.9 2
+py/main.py 14 test-antipattern empty-test-body error 0.9 1
+py/main.py 2 hallucinated-import potential-hallucination-offline warning 0.6 1
+py/main.py 5 language-specific python-mutable-default-arg warning 0.85 2
+py/main.py 7 language-specific python-eval-usage error 0.9 2
+py/main.py 7 security-pattern eval-usage-python error 0.9 2
+py/main.py 8 language-specific python-bare-except warning 0.9 2
+py/main.py 8 language-specific python-pass-in-except warning 0.85 2
+src/app.ts 1 security-pattern ai-generated-import-insecure info 0.4 1
+src/app.ts 11 context-coherence unused-definition info 0.6 1
+src/app.ts 12 incomplete-implementation empty-function-body warning 0.75 1
+src/app.ts 14 incomplete-implementation throw-only-function error 0.95 1
+src/app.ts 15 incomplete-implementation throw-not-implemented error 0.95 2
+src/app.ts 17 async-antipattern async-foreach error 0.95 1
+src/app.ts 19 context-coherence duplicate-function warning 0.85 1
+src/app.ts 2 hallucinated-import potential-hallucination-offline warning 0.6 1
+src/app.ts 20 security-pattern eval-usage-js error 0.9 1
+src/app.ts 3 hallucinated-import potential-hallucination-offline warning 0.6 1
+src/app.ts 4 context-coherence inconsistent-import warning 0.75 1
+src/app.ts 4 hallucinated-import potential-hallucination-offline warning 0.6 1
+src/app.ts 5 security-pattern hardcoded-api-key error 0.85 1
+src/app.ts 5 security-pattern placeholder-secret-very-basic info 0.4 1
+src/app.ts 6 stale-api node:0 warning 0.95 1
+src/app.ts 7 security-pattern generic-security-todo warning 0.7 1
+src/app.ts 7 security-pattern todo-auth-bypass error 0.85 1
+src/app.ts 8 over-engineering deep-nesting warning 0.75 1
+src/app.ts 8 over-engineering excessive-params warning 0.8 1
+src/types.ts 10 over-engineering single-impl-abstraction warning 0.7 1
+src/types.ts 11 context-coherence call-signature-mismatch warning 0.75 1
+src/types.ts 12 context-coherence invalid-enum-member error 0.85 1
+src/types.ts 13 over-engineering deep-generic-nesting info 0.6 1
+src/types.ts 14 over-engineering pattern-name-abuse info 0.6 1
+src/types.ts 6 over-engineering nested-config-abstraction warning 0.7 1
+src/user.ts 1 context-coherence cross-file-type-mismatch warning 0.8 1
+src/user.ts 5 unicode-invisible invisible-character error 0.95 1
+test/app.test.ts 2 test-antipattern description-body-mismatch info 0.6 1
+test/app.test.ts 3 test-antipattern trivially-true warning 0.85 1
+test/app.test.ts 6 test-antipattern duplicate-description warning 0.8 1
+"""
+
+
+def expected() -> list[tuple[str, int, str, str, str, float]]:
+    rows = [line.split() for line in EXPECTED.strip().split("\n")]
+    return [(f, int(line), d, r, sev, float(conf)) for f, line, d, r, sev, conf, n in rows for _ in range(int(n))]
+
+
+def expected_sql() -> str:
+    """The same rows as a SQL table expression."""
+    rows = ", ".join(f"('{f}', {line}, '{d}', '{r}', '{sev}', {conf}::DOUBLE)" for f, line, d, r, sev, conf in expected())
+    return f"(VALUES {rows}) AS expected(file, line, detector_id, rule_id, severity, confidence)"

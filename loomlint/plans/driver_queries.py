@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import tables
+from .. import storage, tables
 from ..functions import columns as C
 from ..operators import matching, rules, scoring, similarity, windows
 from ..operators.rules import Rule
-from ..sources import diff
+from ..sources import code, diff
+from . import corpus, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,10 +194,10 @@ def banding(t):
 
 
 @query("q_async_mix", """
-SELECT doc_id, (contains(text, '%%%')::INT + contains(text, ' | ')::INT + contains(text, '!!')::INT)::INT AS styles FROM documents
-WHERE contains(text, '%%%')::INT + contains(text, ' | ')::INT + contains(text, '!!')::INT >= 2""")
+SELECT doc_id, (contains(text, chr(10))::INT + contains(text, ' | ')::INT + contains(text, '!!')::INT + contains(text, '@')::INT)::INT AS styles FROM documents
+WHERE contains(text, chr(10))::INT + contains(text, ' | ')::INT + contains(text, '!!')::INT + contains(text, '@')::INT >= 2""")
 def style_mix(t):
-    n = sum((F.col("text").contains(x).cast("int") for x in ("%%%", " | ", "!!")), F.lit(0))
+    n = sum((F.col("text").contains(x).cast("int") for x in ("\n", " | ", "!!", "@")), F.lit(0))
     return t.documents.select("doc_id", n.alias("styles")).where("styles >= 2")
 
 
@@ -222,7 +223,7 @@ SELECT doc_id, count(*) FILTER (c > 127) AS non_ascii,
        count(*) FILTER (c IN (173, 847, 1564, 12644, 65279, 65440) OR c BETWEEN 8203 AND 8207 OR c BETWEEN 8234 AND 8238 OR c BETWEEN 8288 AND 8303 OR c BETWEEN 57344 AND 63743 OR c BETWEEN 65024 AND 65039) AS invisible,
        'U+' || lpad(upper(hex(max(c))), 4, '0') AS highest FROM c GROUP BY doc_id""")
 def codepoints(t):
-    codes = F.transform(F.filter(F.split("text", ""), lambda x: x != ""), lambda x: F.call_function("unicode", x) if False else F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("int"))
+    codes = F.transform(F.filter(F.split("text", ""), lambda x: x != ""), lambda x: F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("int"))
     x = t.documents.select("doc_id", codes.alias("c")).where(F.size("c") > 0)
     top = F.array_max("c")
     return x.select("doc_id", F.size(F.filter("c", lambda v: v > 127)).cast("long").alias("non_ascii"), F.size(F.filter("c", C.invisible)).cast("long").alias("invisible"), C.code_label(top).alias("highest"))
@@ -542,8 +543,9 @@ WITH {IDF}, {SEEN}, c AS (SELECT doc_id, token, count(*) AS n FROM seen GROUP BY
 w AS (SELECT doc_id, token, n / size * idf AS w FROM c JOIN s USING (doc_id) JOIN vocab USING (token))
 SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6)::DOUBLE AS w FROM w""")
 def tfidf_vectors(t):
-    counts = similarity.term_counts(t.documents, "doc_id")
-    return similarity.vectors(counts, similarity.vocabulary(t.documents, "doc_id"), "doc_id").withColumn("w", F.round("w", 6))
+    vocab = storage.save(similarity.vocabulary(t.documents, "doc_id"), "vocabulary")  # 512 rows
+    counts = similarity.term_counts(t.documents, "doc_id", vocab=vocab)
+    return similarity.vectors(counts, vocab, "doc_id").withColumn("w", F.round("w", 6))
 
 
 RECALL_CORPUS = f"corpus AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)"
@@ -628,7 +630,8 @@ def html_escape(t):
 
 @query("q_package_name", """
 WITH m(module, language) AS (VALUES ('@a/b/c', 'typescript'), ('lodash/fp', 'typescript'), ('os.path', 'python'), ('github.com/x/y/z', 'go'), ('fmt', 'go'), ('java.util', 'java'))
-SELECT module, ['@a/b', 'lodash', 'os', 'github.com/x/y', 'fmt', 'java.util'][row_number() OVER ()] AS package FROM m""")
+SELECT module, CASE WHEN language = 'typescript' AND starts_with(module, '@') THEN regexp_extract(module, '^[^/]+/[^/]+') WHEN language = 'typescript' THEN split_part(module, '/', 1)
+  WHEN language = 'python' THEN split_part(module, '.', 1) WHEN language = 'go' AND contains(split_part(module, '/', 1), '.') THEN regexp_extract(module, '^[^/]+(/[^/]+)?(/[^/]+)?') ELSE module END AS package FROM m""")
 def package_name(t):
     rows = [("@a/b/c", "typescript"), ("lodash/fp", "typescript"), ("os.path", "python"), ("github.com/x/y/z", "go"), ("fmt", "go"), ("java.util", "java")]
     return t.spark.createDataFrame(rows, "module string, language string").select("module", C.package_name(F.col("language"), F.col("module")).alias("package"))
@@ -640,17 +643,40 @@ def union_distinct(t):
     return part(t.documents, "source", "source").unionByName(part(t.documents, "lang", "lang")).unionByName(part(t.conversations, "role", "role"))
 
 
-@query("q_code_corpus_scan")
-def code_corpus_scan(t):
-    from . import corpus, scan
+# ---- whole scans of the authored corpus; what is expected is a scan's own answer, reviewed issue by issue -------
+
 
+def _corpus_units(t):
     files = t.spark.createDataFrame(corpus.FILES, "file string, language string, content string")
-    return scan.scan(files)["issues"]
+    return storage.save(code.extract_units(files), "units").where("error is null")
 
 
-@query("q_code_corpus_score")
-def code_corpus_score(t):
-    from . import corpus, scan
+def _found(units):
+    return scan.issues(units).select("file", "line", "detector_id", "rule_id", "severity", "confidence")
 
-    files = t.spark.createDataFrame(corpus.FILES, "file string, language string, content string")
-    return scan.scan(files)["file_scores"]
+
+@query("q_code_corpus_scan", f"SELECT * FROM {corpus.expected_sql()}")
+def code_corpus_scan(t):
+    return _found(_corpus_units(t))
+
+
+def _family(detector: str) -> None:
+    @query(f"q_scan_{detector.replace('-', '_')}", f"SELECT * FROM {corpus.expected_sql()} WHERE detector_id = '{detector}'")
+    def family(t):
+        return _found(_corpus_units(t)).where(F.col("detector_id") == detector)
+
+
+for _detector in sorted({r[2] for r in corpus.expected()}):
+    _family(_detector)
+
+
+_CORPUS_ISSUES = f"""issues AS (
+  SELECT file, CASE severity WHEN 'error' THEN 'critical' WHEN 'warning' THEN 'medium' ELSE 'info' END AS severity,
+         CASE WHEN detector_id = 'hallucinated-import' THEN 'hallucination' WHEN detector_id = 'stale-api' THEN 'stale-knowledge'
+              WHEN detector_id IN ('context-coherence', 'test-antipattern') THEN 'context-loss' ELSE 'over-engineering' END AS category FROM {corpus.expected_sql()})"""
+
+
+@query("q_code_corpus_score", f"WITH {_CORPUS_ISSUES}, {_dims_sql('file')} SELECT file, aiFaithfulness, codeFreshness, contextCoherence, implementationQuality, issue_count, total_score, {GRADE} AS grade, total_score >= 70 AS passed FROM totals")
+def code_corpus_score(t):
+    found = storage.save(scan.issues(_corpus_units(t)), "issues")
+    return scoring.total(scoring.to_v3(found), ["file"])

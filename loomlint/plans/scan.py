@@ -26,17 +26,24 @@ def builtins(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(lang, m) for lang, ms in BUILTINS.items() for m in ms.split()], "language string, package string")
 
 
-def issues(units: DataFrame, registry: DataFrame | None = None, dependencies: DataFrame | None = None, extra=()) -> DataFrame:
-    """All detectors over units; ``extra`` are callables from units to rows of ISSUE."""
+def issues(units: DataFrame, registry: DataFrame | None = None, dependencies: DataFrame | None = None, extra=(), limits: dict | None = None, catalog: dict | None = None, deprecated: DataFrame | None = None) -> DataFrame:
+    """All detectors over units.
+
+    ``registry`` is a table (language, package, exists, and deprecated if known);
+    ``extra`` are callables from units to rows of ISSUE; ``limits`` replaces
+    thresholds of over-engineering; ``catalog`` replaces line rules by detector;
+    ``deprecated`` is a table (language, module, replacement) in place of the own one.
+    """
     spark = units.sparkSession
-    table = spark.createDataFrame(DEPRECATED_MODULES, "language string, module string, replacement string")
+    table = spark.createDataFrame(DEPRECATED_MODULES, "language string, module string, replacement string") if deprecated is None else deprecated
+    catalog = rule_catalog.V4_CATALOG | (catalog or {})
     found = [
-        detectors.hallucinated_imports(units, builtins(spark), registry, dependencies), detectors.deprecated_modules(units, table),
+        detectors.hallucinated_imports(units, builtins(spark), registry, dependencies), detectors.deprecated_modules(units, table), detectors.registry_deprecated(units, registry),
         detectors.unused_definitions(units), detectors.inconsistent_imports(units), detectors.duplicate_functions(units), detectors.signature_mismatches(units),
-        detectors.type_mismatches(units), detectors.enum_members(units), detectors.over_engineering(units), detectors.excessive_abstraction(units),
+        detectors.type_mismatches(units), detectors.enum_members(units), detectors.over_engineering(units, limits), detectors.excessive_abstraction(units),
         detectors.single_implementations(units), detectors.config_depth(units), detectors.decorator_chains(units), detectors.generics(units), detectors.generic_nesting(units), detectors.pattern_names(units),
         detectors.unhandled_errors(units), detectors.many_bangs(units),
-        detectors.line_rules(units, rule_catalog.V4_CATALOG, rule_catalog.CATEGORY), detectors.invisible_characters(units),
+        detectors.line_rules(units, catalog, {d: "implementation" for d in catalog} | rule_catalog.CATEGORY), detectors.invisible_characters(units),
         detectors.empty_bodies(units), detectors.throw_only(units), detectors.test_rules(units), detectors.description_mismatches(units),
         *[f(units) for f in extra],
     ]

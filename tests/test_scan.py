@@ -61,3 +61,22 @@ def test_registry_and_plugins(spark):
     mine = lambda units: detectors.issue(units.where("kind = 'file'"), "mine", "x", "info", "implementation", 0.1, F.lit(1), F.col("file"))
     got = {(r["detector_id"], r["rule_id"], r["line"]) for r in scan.scan(files, registry=registry, extra=[mine])["issues"].collect()}
     assert got == {("hallucinated-import", "package-not-found", 1), ("mine", "x", 1)}
+
+
+def test_registry_deprecation_limits_and_catalogs(spark):
+    from loomlint.operators.rules import Rule
+    from loomlint.sources import code
+
+    files = spark.createDataFrame([("a.py", "python", "import old\nimport fine\ndef f(a, b):\n    return magic(a)\n")], "file string, language string, content string")
+    registry = spark.createDataFrame([("python", "old", True, "use new"), ("python", "fine", True, None)], "language string, package string, `exists` boolean, deprecated string")
+    modules = spark.createDataFrame([("python", "fine", "better")], "language string, module string, replacement string")
+    units = code.extract_units(files).where("error is null")
+    got = scan.issues(units, registry=registry, limits={"params": 1}, catalog={"stale-api": [], "own": [Rule("magic", r"\bmagic\(")]}, deprecated=modules)
+    rows = {(r["detector_id"], r["rule_id"], r["line"]) for r in got.where("kind is null" if "kind" in got.columns else "true").collect()}
+    assert {("stale-api", "registry-deprecated", 1), ("stale-api", "deprecated-module", 2), ("over-engineering", "excessive-params", 3), ("own", "magic", 4)} <= rows
+
+
+def test_all_issues_are_the_expected_ones(result):
+    """No more and no fewer than the reviewed list."""
+    got = sorted((r["file"], r["line"], r["detector_id"], r["rule_id"], r["severity"], r["confidence"]) for r in result["issues"].collect())
+    assert got == sorted(corpus.expected())
