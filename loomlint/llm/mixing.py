@@ -125,7 +125,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS,
     parts = shares(targets, slots)
     most, total = parts.agg(F.max("n"), F.sum("n_slots")).first()
     # hexadecimal digits of the key that deal a source into cells
-    digits = next(d for d in range(1, 9) if (most or 0) <= CELL * 16**d or d == 8)
+    digits = next(d for d in range(2, 9) if (most or 0) <= CELL * 16**d or d == 8)
     hits = common.save(schedule(parts, total or 0, golden), "mix-schedule")
     won = parts.join(hits.groupBy("place").agg(F.count("*").alias("hits")), "place", "left")
     reads = F.least(F.coalesce("hits", F.lit(0)), F.floor(F.lit(cap) * F.col("n_blocks")).cast("long"))
