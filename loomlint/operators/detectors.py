@@ -79,6 +79,32 @@ def unused_definitions(units: DataFrame) -> DataFrame:
     return issue(defs.join(names, "name", "left_anti"), "context-coherence", "unused-definition", "info", "context-coherence", 0.6, F.col("start_line") + 1, F.col("name"))
 
 
+# Names that need neither definition nor import.
+GLOBALS = {
+    "typescript": "console process require module exports globalThis window document undefined NaN Infinity Object Array String Number Boolean Symbol Map Set WeakMap WeakSet Promise Proxy Reflect JSON Math Date RegExp Error Buffer URL fetch setTimeout setInterval clearTimeout clearInterval parseInt parseFloat isNaN isFinite",
+    "python": "print len range str int float bool list dict set tuple type object super isinstance issubclass enumerate zip map filter sorted reversed sum min max abs any all open input repr hash id iter next getattr setattr hasattr callable None True False Exception ValueError TypeError KeyError RuntimeError self cls",
+    "java": "System String Object Integer Long Double Boolean Math Thread Exception RuntimeException Override this super",
+    "go": "append cap close copy delete len make new panic print println recover nil true false iota error string int bool byte rune",
+    "kotlin": "println print listOf mapOf setOf mutableListOf mutableMapOf arrayOf require check error String Int Long Boolean Any Unit this super it",
+}
+
+
+def undefined_references(units: DataFrame, references: DataFrame | None) -> DataFrame:
+    """Unresolved references (file, language, name, line, resolved) to names that the file neither defines nor imports and that are no globals.
+
+    A null ``resolved`` counts as unresolved. Without a table there are no references.
+    """
+    if references is None:
+        references = units.sparkSession.createDataFrame([], "file string, language string, name string, line int, resolved boolean")
+    spark = units.sparkSession
+    both = lambda d, lang: d.withColumn("language", F.lit(lang))
+    common = spark.createDataFrame([(lang, n) for lang, names in GLOBALS.items() for n in names.split()], "language string, name string")
+    common = common.unionByName(both(common.where("language = 'typescript'"), "javascript"))
+    own = units.where("kind <> 'file'").select("file", "name").unionByName(imports_of(units).select("file", F.explode("symbols").alias("name")))
+    x = references.where("not coalesce(resolved, false)").join(F.broadcast(common), ["language", "name"], "left_anti").join(own, ["file", "name"], "left_anti")
+    return issue(x, "context-coherence", "undefined-reference", "warning", "context-coherence", 0.7, F.col("line") + 1, F.col("name"))
+
+
 def inconsistent_imports(units: DataFrame) -> DataFrame:
     """A symbol that a file imports from more than one module; the line of the second."""
     x = imports_of(units).select("file", "module", "line", "ord", F.explode("symbols").alias("symbol")).where("symbol <> '*'")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import rules, windows
+from . import matching, rules, windows
 from .rules import Rule
 
 COLUMNS = ["file", "line", "detector", "type", "severity", "message"]
@@ -68,6 +68,50 @@ def duplication(files: DataFrame) -> DataFrame:
     return _issue(again, "duplication", "duplicate-import", "info", F.col("i") + 1, F.col("m"))
 
 
+# Names that may be called though a file neither declares nor imports them, and words that only look like calls.
+CALLABLE = set("""
+    console process require module exports __dirname __filename setTimeout setInterval clearTimeout clearInterval setImmediate Promise Error Array Object String Number Boolean
+    Map Set WeakMap WeakSet Symbol Proxy Reflect JSON Math Date RegExp Buffer URL URLSearchParams TextEncoder TextDecoder AbortController fetch Response Request Headers FormData
+    Blob File ReadableStream WritableStream EventTarget Event CustomEvent globalThis undefined null NaN Infinity parseInt parseFloat isNaN isFinite encodeURI decodeURI
+    encodeURIComponent decodeURIComponent structuredClone crypto performance queueMicrotask atob btoa describe it test expect beforeAll afterAll beforeEach afterEach vi jest
+    constructor super this log warn error info debug trace count sum avg max min coalesce nullif cast next resolve reject emit on off once toString valueOf hasOwnProperty isPrototypeOf
+""".split())
+SYNTAX = set("""
+    if for while switch catch return throw new typeof instanceof void delete await yield case in of as from import export default extends implements interface type enum namespace
+    abstract declare readonly static public private protected override get set async function class const let var
+""".split())
+MODIFIERS = "public private protected static async override abstract"
+
+
+def phantom_functions(files: DataFrame) -> DataFrame:
+    """Calls of functions that the file neither declares nor imports and that are no globals.
+
+    Methods, decorators, comments, names in capitals or of one letter are left
+    alone, and so are lines without = that begin with a call, as they may be declarations.
+    """
+    ls = files.select("file", F.posexplode(C.lines(F.col("content"))).alias("i", "t"))
+    every = lambda rule: F.regexp_extract_all("t", F.lit(rule), F.lit(1))
+    listed = lambda rule: F.flatten(F.transform(every(rule), lambda g: F.split(g, ",")))
+    # of "a as b" the last word is declared, of "...a: T = 1" the first
+    imported = F.transform(F.concat(listed(r"\bimport\s+(?:type\s+)?(?:\w+\s*,\s*)?\{([^}]+)\}"), listed(r"\b(?:const|let|var)\s+\{([^}]+)\}\s*=\s*require\b")), lambda n: F.regexp_extract(n, r"(\w+)\s*$", 1))
+    params = F.transform(F.concat(listed(r"\bfunction\s+\w+\s*\(([^)]*)\)"), listed(r"=>\s*\(([^)]*)\)")), lambda n: F.regexp_extract(n, r"^\s*(?:\.\.\.)?(\w+)", 1))
+    names = F.concat(every(r"\b(?:const|let|var|function|class)\s+(\w+)"), every(r"\bimport\s+(\w+)"), imported, params)
+    declared = ls.select("file", F.explode(F.array_distinct(names)).alias("name")).where("name <> ''").distinct()
+    may = ~C.is_comment(F.col("t")) & ~F.ltrim("t").startswith("@") & (F.col("t").contains("=") | ~F.col("t").rlike(rf"^\s*(?:{'|'.join(MODIFIERS.split())})?\s*\w+\s*\("))
+    calls = ls.where(may).select("file", "i", F.explode(every(r"(?<![\w.@])([A-Za-z]\w+)\s*\(")).alias("name"))
+    calls = calls.where(~F.col("name").isin(*sorted(CALLABLE | SYNTAX)) & ~F.col("name").rlike("^[A-Z][A-Z0-9_]+$"))
+    return _issue(calls.join(declared, ["file", "name"], "left_anti"), "hallucination", "phantom-function", "medium", F.col("i") + 1, F.col("name"))
+
+
+def duplicate_functions(units: DataFrame, share: float = 0.8, least: int = 3) -> DataFrame:
+    """Functions of a file of which ``share`` of the lines equal those of an earlier one, place by place; once for each such pair."""
+    x = units.where("kind in ('function', 'method')").select("file", F.struct("file", "start_line", "ord", "name").alias("unit"), C.lines(F.col("source")).alias("_l"))
+    # the first line is the declaration
+    pairs = matching.near_equal_rows(x, ["file"], "unit", F.transform(F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0))), C.squeezed), share, least)
+    text = F.concat(F.col("b.name"), F.lit(" is "), F.round(F.col("similarity") * 100).cast("int"), F.lit("% like "), F.col("a.name"))
+    return _issue(pairs.withColumn("file", F.col("b.file")), "duplication", "duplicate-function", "low", F.col("b.start_line") + 1, text)
+
+
 def context_breaks(files: DataFrame) -> DataFrame:
     """Mixed naming, module systems and asynchronous styles of a file."""
     x = files.select("file", F.posexplode(C.lines(F.col("content"))).alias("i", "t"))

@@ -164,3 +164,44 @@ def expected_sql() -> str:
     """The same rows as a SQL table expression."""
     rows = ", ".join(f"('{f}', {line}, '{d}', '{r}', '{sev}', {conf}::DOUBLE)" for f, line, d, r, sev, conf in expected())
     return f"(VALUES {rows}) AS expected(file, line, detector_id, rule_id, severity, confidence)"
+
+
+#: Files for calls, near-equal functions and references.
+CALLS = [
+    ("a.ts", "typescript", """import { load as read } from './io';
+import helper from './helper';
+const { pick } = require('lodash');
+export function first(rows, done) {
+  const a = read(rows);
+  const b = helper(pick(a));
+  return ghost(a, b);
+}
+export function second(rows, done) {
+  const a = read(rows);
+  const b = helper(pick(a));
+  return ghost(a, b);
+}
+// const c = commented(1);
+@Decorated(1)
+obj.method = obj.call(MAX(1), x(2), parseInt('3'));
+bare(1);
+const t = setup(() => missing(1));
+"""),
+    ("b.ts", "typescript", """export function only(v) {
+  return v.map(w => w + 1);
+}
+"""),
+]
+PHANTOM = [("a.ts", 7, "ghost"), ("a.ts", 12, "ghost"), ("a.ts", 18, "setup"), ("a.ts", 18, "missing")]
+TWINS = [("a.ts", 9, "second is 100% like first")]
+REFERENCES = [
+    ("a.ts", "typescript", "load", 4, False), ("a.ts", "typescript", "first", 4, None), ("a.ts", "typescript", "ghost", 6, False), ("a.ts", "typescript", "ghost", 11, True),
+    ("a.ts", "typescript", "console", 2, False), ("b.ts", "typescript", "first", 1, False), ("b.ts", "javascript", "JSON", 1, None), ("b.ts", "typescript", "unsure", 0, None),
+]
+UNDEFINED = [("a.ts", 7, "ghost"), ("b.ts", 2, "first"), ("b.ts", 1, "unsure")]
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    """Rows of plain values as a SQL table expression."""
+    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names})"

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import storage, tables
 from ..functions import columns as C
-from ..operators import matching, rules, scoring, similarity, windows
+from ..operators import detectors, matching, rules, scoring, similarity, v3, windows
 from ..operators.rules import Rule
 from ..sources import code, diff
-from . import corpus, scan
+from . import corpus, reports, scan, stages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -643,6 +643,66 @@ def union_distinct(t):
     return part(t.documents, "source", "source").unionByName(part(t.documents, "lang", "lang")).unionByName(part(t.conversations, "role", "role"))
 
 
+# ---- service levels, references and reports ---------------------------------------------------------------------
+
+
+@query("q_suspicious_units", """
+SELECT event_id, 'u' || user_id AS file FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value / 500 >= 0.9)""")
+def suspicious_units(t):
+    return stages.suspicious(t.issues.select("event_id", "file"), t.issues.where("severity = 'critical'"), 0.9)
+
+
+@query("q_stage_totals", """
+WITH s AS (SELECT unnest(['structural', 'embedding', 'model', 'none']) AS stage),
+e AS (SELECT CASE event_type WHEN 'error' THEN 'structural' WHEN 'purchase' THEN 'embedding' ELSE 'model' END AS stage FROM events)
+SELECT stage, (SELECT count(*) FROM e WHERE e.stage = s.stage)::BIGINT AS issues, CASE stage WHEN 'model' THEN 7 ELSE 0 END::BIGINT AS tokens FROM s""")
+def stage_totals(t):
+    x = t.issues.select(C.literal_map({"critical": "structural", "high": "embedding"}, F.col("severity"), "model").alias("stage"))
+    return stages.totals(x, ["structural", "embedding", "model", "none"], t.spark.createDataFrame([("model", 7)], "stage string, tokens bigint"))
+
+
+@query("q_heal_summary", """
+SELECT count(*)::BIGINT AS files, count(*) FILTER (l_discount > 0.05)::BIGINT AS files_healed, sum(l_linenumber)::BIGINT AS issues_fixed,
+       (floor(avg((l_quantity + l_linenumber)::DOUBLE - l_quantity::DOUBLE) * 10 + 0.5) / 10)::DOUBLE AS mean_improvement FROM lineitem""")
+def heal_summary(t):
+    x = t.lineitem.select((F.col("l_discount") > 0.05).alias("patched"), F.col("l_linenumber").alias("changes"), F.col("l_quantity").alias("original_score"), (F.col("l_quantity") + F.col("l_linenumber")).alias("fixed_score"))
+    return reports.heal_summary(x)
+
+
+@query("q_sarif_rules", """
+WITH r AS (SELECT event_type AS id, min(row(file, line, message)) AS f FROM (SELECT 'u' || user_id AS file, (hour(ts) * 60 + minute(ts))::INT AS line, event_type AS message, event_type FROM events) GROUP BY event_type)
+SELECT 'rule' AS part, id, CASE id WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'note' END AS level, 1::BIGINT AS n FROM r
+UNION ALL
+SELECT 'result', event_type, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'note' END, count(*) FROM events GROUP BY event_type""")
+def sarif_rules(t):
+    x = reports.sarif_by_issue(t.issues.select("file", "line", "severity", "message", F.lit("events").alias("detector"), F.col("message").alias("type")))
+    of = lambda p: F.get_json_object("json", p)
+    x = x.select("part", F.coalesce(of("$.id"), of("$.ruleId")).alias("id"), F.coalesce(of("$.defaultConfiguration.level"), of("$.level")).alias("level"))
+    return x.groupBy("part", "id", "level").agg(F.count("*").alias("n"))
+
+
+def _calls_corpus(t):
+    return t.spark.createDataFrame(corpus.CALLS, "file string, language string, content string")
+
+
+@query("q_phantom_functions", f"SELECT * FROM {corpus.values_sql(corpus.PHANTOM, 'file, line, name')}")
+def phantom_functions(t):
+    return v3.phantom_functions(_calls_corpus(t)).select("file", "line", F.col("message").alias("name"))
+
+
+@query("q_duplicate_functions", f"SELECT * FROM {corpus.values_sql(corpus.TWINS, 'file, line, name')}")
+def duplicate_functions(t):
+    units = storage.save(code.extract_units(_calls_corpus(t)), "units").where("error is null")
+    return v3.duplicate_functions(units).select("file", "line", F.col("message").alias("name"))
+
+
+@query("q_scan_undefined_reference", f"SELECT * FROM {corpus.values_sql(corpus.UNDEFINED, 'file, line, name')}")
+def scan_undefined_reference(t):
+    units = storage.save(code.extract_units(_calls_corpus(t)), "units").where("error is null")
+    refs = t.spark.createDataFrame(corpus.REFERENCES, "file string, language string, name string, line int, resolved boolean")
+    return detectors.undefined_references(units, refs).select("file", "line", F.col("message").alias("name"))
+
+
 # ---- whole scans of the authored corpus; what is expected is a scan's own answer, reviewed issue by issue -------
 
 

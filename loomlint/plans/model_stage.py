@@ -15,9 +15,9 @@ CONFIDENCE = 0.8
 
 
 class Provider(Protocol):
-    """Answers prompts; must be picklable, as it runs on executors."""
+    """Answers prompts; must be picklable, as it runs on executors. ``available() -> bool`` is optional."""
 
-    def complete(self, prompt: str) -> str: ...
+    def complete(self, prompt: str) -> str | tuple[str, int]: ...
 
 
 def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -30,21 +30,30 @@ def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return x.select(*[c for c in x.columns if c != "i"], line.alias("line"), C.severity_of(F.col("i.severity")).alias("severity"), C.category_of(F.coalesce("i.category", F.lit("implementation"))).alias("category"), F.col("i.message").alias("message"), F.lit(CONFIDENCE).alias("confidence"))
 
 
-def ask(units: DataFrame, provider: Provider, blocks: int = BLOCKS) -> DataFrame:
-    """Issues that a provider finds in the first units, in order; a failed call gives none.
+def replies(units: DataFrame, provider: Provider, blocks: int = BLOCKS) -> DataFrame:
+    """(file, reply, tokens, error): a provider's answers about the first units, in order; a failed call is a row with its error.
 
-    The cut is the feature: it bounds what is sent, and stands below the Python call.
+    The cut is the feature: it bounds what is sent, and stands below the Python
+    call. An answer is a text, or a text and the number of tokens it took.
     """
     chosen = units.orderBy("file", "ord").limit(blocks).select("file", F.concat(F.lit("Review this code. Reply with JSON issues.\n"), F.substring("source", 1, 4000)).alias("prompt"))
 
+    def answer(prompt: str) -> tuple:
+        try:
+            got = provider.complete(prompt)
+        except Exception as e:  # noqa: BLE001  one failed block must not fail the scan
+            return None, 0, f"{type(e).__name__}: {e}"
+        return (got, 0, None) if isinstance(got, str) else (got[0], int(got[1]), None)
+
     def run(batches) -> Iterator:
+        import pandas as pd
+
         for b in batches:
-            out = []
-            for p in b["prompt"]:
-                try:
-                    out.append(provider.complete(p))
-                except Exception:  # noqa: BLE001  one failed block must not fail the scan
-                    out.append("")
-            yield b.assign(reply=out)[["file", "reply"]]
-
-    return parse_replies(chosen.mapInPandas(run, "file string, reply string"))
+            yield pd.DataFrame([(f, *answer(p)) for f, p in zip(b["file"], b["prompt"], strict=True)], columns=["file", "reply", "tokens", "error"])
+
+    return chosen.mapInPandas(run, "file string, reply string, tokens bigint, error string")
+
+
+def ask(units: DataFrame, provider: Provider, blocks: int = BLOCKS) -> DataFrame:
+    """Issues that a provider finds in the first units, in order; a failed call gives none."""
+    return parse_replies(replies(units, provider, blocks).where("error is null").select("file", "reply"))
