@@ -136,26 +136,57 @@ def over_engineering(units: DataFrame) -> DataFrame:
 
 
 def type_safety(files: DataFrame) -> DataFrame:
-    """Uses of any: each up to five, else three and a summary; and files of many non-null assertions."""
-    any_ = r":\s*any\b|\bas\s+any\b|<any>"
+    """Uses of any (each up to five, else the first three and a summary), exported functions without a return type, double assertions, files of many non-null assertions."""
     ls = files.where("language = 'typescript'").select("file", F.posexplode(C.lines(F.col("content"))).alias("i", "t"))
-    uses = ls.where(F.col("t").rlike(any_)).withColumn("n", F.count("*").over(Window.partitionBy("file"))).withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("i")))
+    code = ls.where(~F.ltrim("t").rlike(r"^(?://|\*|/\*)"))
+    found = F.concat(*[F.regexp_extract_all("t", F.lit(rule), F.lit(0)) for rule in (r":\s*any\b", r"\bas\s+any\b", "<any>")])
+    uses = code.select("file", "i", "t", F.posexplode(found).alias("k", "use"))
+    uses = uses.withColumn("n", F.count("*").over(Window.partitionBy("file"))).withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("i", "k")))
     sev = F.when(F.col("n") > 8, "medium").when(F.col("n") >= 4, "low").otherwise("info")
     each = _issue(uses.where("n <= 5 or r <= 3"), "type-safety", "any-usage", sev, F.col("i") + 1, F.trim("t"))
-    summary = _issue(uses.where("n > 5 and r = 1"), "type-safety", "any-abuse", sev, F.col("i") + 1, F.col("n").cast("string"))
+    summary = _issue(uses.where("n > 5 and r = 1"), "type-safety", "any-abuse", sev, F.lit(1), F.col("n").cast("string"))
+    # what follows the last bracket of the line is the body, not a type
+    untyped = code.where(F.col("t").rlike(r"^\s*export\s+(?:default\s+)?(?:async\s+)?function\s+\w+\s*\([^)]*\)\s*\{") & F.col("t").rlike(r"\)(?!\s*:)[^){]*\{[^)]*$"))
+    untyped = _issue(untyped, "type-safety", "missing-return-type", "low", F.col("i") + 1, F.regexp_extract("t", r"function\s+(\w+)", 1))
+    twice = _issue(code.where(F.col("t").rlike(r"\bas\s+unknown\s+as\s+\w")), "type-safety", "unsafe-assertion", "medium", F.col("i") + 1, F.trim("t"))
     bangs = ls.where(F.col("t").rlike(r"\w!(?:\.|\[|;|\))")).groupBy("file").agg(F.count("*").alias("n"), F.min("i").alias("i")).where("n > 5")
-    return each.unionByName(summary).unionByName(_issue(bangs, "type-safety", "non-null-abuse", "low", F.col("i") + 1, F.col("n").cast("string")))
+    bangs = _issue(bangs, "type-safety", "non-null-abuse", "low", F.col("i") + 1, F.col("n").cast("string"))
+    return each.unionByName(summary).unionByName(untyped).unionByName(twice).unionByName(bangs)
 
 
-def phantom_packages(files: DataFrame, builtins: DataFrame, dependencies: DataFrame, installed: DataFrame | None = None) -> DataFrame:
-    """Imported packages that are no builtin, in no manifest and not installed."""
+CATALOG_ROWS = 10_000
+
+
+def stale_apis(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Lines that use an API of a catalog (api, pattern, severity, replacement, deprecated_since), with the column of the first use in ``column``.
+
+    Patterns are Java regular expressions taken from the data; each becomes a
+    line rule. A catalog of over ``CATALOG_ROWS`` rows is an error, since rules
+    are part of the plan. Rows without a pattern are left out; a null severity is medium.
+    """
+    rows = catalog.where("pattern is not null").select("api", "pattern", "severity", "replacement", "deprecated_since").limit(CATALOG_ROWS + 1).collect()
+    if len(rows) > CATALOG_ROWS:
+        raise ValueError(f"a catalog may have {CATALOG_ROWS} rows")
+    found = [Rule(str(i), r["pattern"], r["severity"] or "medium", where="code") for i, r in enumerate(rows)]
+    if not found:
+        return _issue(files.where("false"), "stale-api", "deprecated-api", "medium", F.lit(1), F.lit("")).withColumn("column", F.lit(1))
+    x = rules.scan(files, found, ["file"], "content")
+    text = {str(i): " ".join([r["api"] or r["pattern"], *([f"(since {r['deprecated_since']})"] if r["deprecated_since"] else []), *([f"-> {r['replacement']}"] if r["replacement"] else [])]) for i, r in enumerate(rows)}
+    x = x.withColumn("_pattern", C.literal_map({r.id: r.pattern for r in found}, F.col("rule_id"), "")).withColumn("_text", C.literal_map(text, F.col("rule_id"), ""))
+    out = _issue(x.withColumn("_column", F.regexp_instr("line_text", F.col("_pattern"))), "stale-api", "deprecated-api", F.col("severity"), F.col("line_no"), F.concat_ws("\t", F.col("_column").cast("string"), "_text"))
+    return out.withColumn("column", F.split("message", "\t", 2)[0].cast("int")).withColumn("message", F.split("message", "\t", 2)[1])
+
+
+def phantom_packages(files: DataFrame, builtins: DataFrame, dependencies: DataFrame, installed: DataFrame | None = None, well_known: DataFrame | None = None) -> DataFrame:
+    """Imported packages that are no builtin, in no manifest, not installed and not well known; the last two are tables (package) of the caller's."""
     ls = files.select("file", "language", F.posexplode(C.lines(F.col("content"))).alias("i", "t"))
     ts = F.regexp_extract("t", r"(?:\bfrom\s+|\brequire\s*\(\s*|^\s*import\s+)['\"]([^'\"./][^'\"]*)['\"]", 1)
     py = F.regexp_extract("t", r"^\s*(?:from|import)\s+([A-Za-z_]\w*)", 1)
     x = ls.withColumn("m", F.when(F.col("language") == "python", py).otherwise(ts)).where("m <> ''").withColumn("package", C.package_name(F.col("language"), F.col("m")))
     x = x.join(builtins, ["language", "package"], "left_anti").join(dependencies.select("package"), "package", "left_anti")
-    if installed is not None:
-        x = x.join(installed.select("package"), "package", "left_anti")
+    for table in (installed, well_known):
+        if table is not None:
+            x = x.join(table.select("package"), "package", "left_anti")
     return _issue(x, "hallucination", "phantom-package", "high", F.col("i") + 1, F.col("package"))
 
 

@@ -200,6 +200,23 @@ REFERENCES = [
 ]
 UNDEFINED = [("a.ts", 7, "ghost"), ("b.ts", 2, "first"), ("b.ts", 1, "unsure")]
 
+#: Files for uses of types.
+TYPES = [
+    ("few.ts", "typescript", """export function open(a) {
+  return a as unknown as string;
+}
+export async function typed(a: number): Promise<number> { return a; }
+export function inline(a) { return run(a); }
+// let c: any;
+let x: any = y as any;
+"""),
+    ("many.ts", "typescript", "let a: any, b: any;\n" * 3 + "z(<any>v);\n" + "q!.w;\n" * 6),
+]
+UNSAFE = [
+    ("few.ts", 1, "missing-return-type", "low"), ("few.ts", 2, "unsafe-assertion", "medium"), ("few.ts", 7, "any-usage", "info"), ("few.ts", 7, "any-usage", "info"),
+    ("many.ts", 1, "any-usage", "low"), ("many.ts", 1, "any-usage", "low"), ("many.ts", 2, "any-usage", "low"), ("many.ts", 1, "any-abuse", "low"), ("many.ts", 5, "non-null-abuse", "low"),
+]
+
 
 def values_sql(rows: list[tuple], names: str) -> str:
     """Rows of plain values as a SQL table expression."""

@@ -703,6 +703,22 @@ def scan_undefined_reference(t):
     return detectors.undefined_references(units, refs).select("file", "line", F.col("message").alias("name"))
 
 
+@query("q_type_safety", f"SELECT * FROM {corpus.values_sql(corpus.UNSAFE, 'file, line, type, severity')}")
+def type_safety(t):
+    files = t.spark.createDataFrame(corpus.TYPES, "file string, language string, content string")
+    return v3.type_safety(files).select("file", "line", "type", "severity")
+
+
+@query("q_stale_words", """
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+c AS (SELECT unnest(['license', 'name', 'http']) AS pattern, unnest(['high', 'low', 'medium']) AS severity)
+SELECT doc_id, line_no::INT AS line, severity, instr(line, pattern)::INT AS place FROM lines, c WHERE contains(line, pattern) AND NOT regexp_matches(line, '^ *(//|#|\\*|/\\*)')""")
+def stale_words(t):
+    catalog = t.spark.createDataFrame([("a", "license", "high", None, None), ("b", "name", "low", "x", "1"), ("c", "http", None, None, "2")], "api string, pattern string, severity string, replacement string, deprecated_since string")
+    files = t.documents.select(F.col("doc_id").alias("file"), F.col("text").alias("content"))
+    return v3.stale_apis(files, catalog).select(F.col("file").alias("doc_id"), "line", "severity", F.col("column").alias("place"))
+
+
 # ---- whole scans of the authored corpus; what is expected is a scan's own answer, reviewed issue by issue -------
 
 

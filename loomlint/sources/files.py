@@ -60,6 +60,12 @@ def manifest_dependencies(manifests: DataFrame, text: str = "content") -> DataFr
     return manifests.select("file", F.explode(keys).alias("package"))
 
 
+def api_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Catalogs of deprecated APIs, JSON arrays or lines: api, pattern, replacement, deprecated_since, severity, references. Other fields are ignored."""
+    fields = "api string, pattern string, replacement string, deprecated_since string, severity string, references array<string>"
+    return spark.read.schema(fields).option("multiLine", True).json(path)
+
+
 def cached_answers(cache: DataFrame, now: int) -> DataFrame:
     """Registry answers that are still fresh: epoch seconds ``ts`` and ``ttl``."""
     return cache.where(F.lit(now) - F.col("ts") <= F.col("ttl"))

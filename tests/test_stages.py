@@ -134,3 +134,19 @@ def test_reports(spark):
     assert comment.startswith("<!-- loomlint -->\n") and f"and {n - 3} more" in comment and comment.count("**error**") == 3
     empty = reports.heal_summary(spark.createDataFrame([], "patched boolean, changes int, original_score double, fixed_score double")).first()
     assert tuple(empty) == (0, 0, 0, 0.0)
+
+
+def test_catalog_of_apis(spark, tmp_path):
+    from loomlint.operators import v3
+    from loomlint.sources import files as sources
+
+    (tmp_path / "apis.json").write_text('[{"api": "old()", "pattern": "\\\\bold\\\\(", "severity": "high", "replacement": "fresh()", "deprecated_since": "2.0", "x": 1}, {"api": "none"}]')
+    catalog = sources.api_catalog(spark, str(tmp_path / "apis.json"))
+    files = spark.createDataFrame([("a.ts", "typescript", "// old()\nx = old(1) + old(2)\nfold(1)")], FILES)
+    rows = [tuple(r) for r in v3.stale_apis(files, catalog).select("line", "column", "severity", "message").collect()]
+    assert rows == [(2, 5, "high", "old() (since 2.0) -> fresh()")]
+    assert v3.stale_apis(files, catalog.where("false")).count() == 0
+    nothing = spark.createDataFrame([], "language string, package string")
+    ghost = spark.createDataFrame([("a.ts", "typescript", "import a from 'ghost';\nimport b from 'famous';")], FILES)
+    known = spark.createDataFrame([("famous",)], "package string")
+    assert [r["message"] for r in v3.phantom_packages(ghost, nothing, nothing, well_known=known).collect()] == ["ghost"]
