@@ -17,7 +17,7 @@ def _issue(df: DataFrame, detector: str, kind, severity, line: Column, message:
     return df.select("file", line.cast("int").alias("line"), F.lit(detector).alias("detector"), c(kind).alias("type"), c(severity).alias("severity"), message.alias("message"))
 
 
-# Security types with severities; markers of unfinished work.
+# Security types with severities and weakness ids; markers of unfinished work.
 SECURITY = [
     Rule("hardcoded-secret", r"(?i)(?:api[_-]?key|secret|token|password|passwd)\s*[:=]\s*['\"][^'\"\s]{8,}['\"]", "critical", excludes=(r"(?i)process\.env|os\.environ|getenv|example|placeholder|changeme|your[_-]",)),
     Rule("hardcoded-secret-key", r"AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|-----BEGIN (?:RSA )?PRIVATE KEY-----", "critical"),
@@ -26,8 +26,13 @@ SECURITY = [
     Rule("insecure-random", r"\bMath\.random\s*\(", "medium"),
     Rule("insecure-hash", r"(?i)createHash\(\s*['\"](?:md5|sha1)['\"]|hashlib\.(?:md5|sha1)\(", "medium"),
     Rule("insecure-cors", r"(?i)Access-Control-Allow-Origin['\"]?\s*[:,]\s*['\"]\*|cors\(\s*\)", "medium"),
+    Rule("insecure-config-headers", r"(?i)\b(?:helmet|contentSecurityPolicy|hsts|frameguard|xssFilter|noSniff)\s*[:=(]\s*false\b", "medium"),
     Rule("insecure-config", r"(?i)rejectUnauthorized\s*:\s*false|verify\s*=\s*False|debug\s*[:=]\s*true", "medium"),
 ]
+CWE = {
+    "hardcoded-secret": "CWE-798", "unsafe-eval": "CWE-95", "sql-injection": "CWE-89", "insecure-random": "CWE-338", "insecure-hash": "CWE-328", "insecure-cors": "CWE-942",
+    "insecure-config-headers": "CWE-693", "insecure-config": "CWE-295",
+}
 MARKERS = r"(?i)\b(?:TODO|FIXME|HACK|XXX|not implemented|implement (?:this|me)|placeholder)\b"
 BANDS = {"complexity": (15, 25), "length": (80, 150), "nesting": (4, 6), "params": (5, 8)}
 
@@ -39,9 +44,12 @@ def unsuppressed(files: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def security(files: DataFrame) -> DataFrame:
+    """Lines of insecure patterns outside tests, with the id of the weakness in ``cwe``."""
     x = files.where(~F.col("file").rlike(r"(?i)(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.\w+$"))
     x = rules.scan(x, SECURITY, ["file"], "content")
-    return _issue(x, "security-pattern", F.regexp_replace("rule_id", "-key$", ""), F.col("severity"), F.col("line_no"), F.trim(F.substring("line_text", 1, 120)))
+    out = _issue(x, "security-pattern", F.col("rule_id"), F.col("severity"), F.col("line_no"), F.trim(F.substring("line_text", 1, 120)))
+    cwe = C.literal_map(CWE, F.regexp_replace("type", "-key$", ""), None)
+    return out.withColumn("cwe", cwe).withColumn("type", F.regexp_replace("type", "-(?:key|headers)$", ""))
 
 
 def logic_gaps(files: DataFrame) -> DataFrame:

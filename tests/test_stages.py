@@ -150,3 +150,13 @@ def test_catalog_of_apis(spark, tmp_path):
     ghost = spark.createDataFrame([("a.ts", "typescript", "import a from 'ghost';\nimport b from 'famous';")], FILES)
     known = spark.createDataFrame([("famous",)], "package string")
     assert [r["message"] for r in v3.phantom_packages(ghost, nothing, nothing, well_known=known).collect()] == ["ghost"]
+
+
+def test_security_names_weaknesses(spark):
+    from loomlint.operators import v3
+
+    text = "const password = 'abcdefgh1';\neval(x);\napp.use(helmet({ hsts: false }));\nconst t = { rejectUnauthorized: false };\nconst k = 'ghp_" + "a" * 36 + "';\nconst h = hsts(true);"
+    rows = spark.createDataFrame([("a.ts", "typescript", text), ("tests/a.ts", "typescript", text)], FILES)
+    got = {(r["file"], r["line"], r["type"], r["cwe"]) for r in v3.security(rows).collect()}
+    want = {(1, "hardcoded-secret", "CWE-798"), (2, "unsafe-eval", "CWE-95"), (3, "insecure-config", "CWE-693"), (4, "insecure-config", "CWE-295"), (5, "hardcoded-secret", "CWE-798")}
+    assert got == {("a.ts", *w) for w in want}
