@@ -48,7 +48,7 @@ def may_match(text: Column, rule: Rule) -> Column:
 
 
 def hits(lines: Column, rules: list[Rule], language: Column | None = None, possible: list[Column] | None = None) -> Column:
-    """[(line, rule)] of a text's lines (0-based) by rules in order; ``possible``: of each rule, whether it can match."""
+    """[(line, rule)] of a text's lines (0-based) by rules in order; ``possible``: of each rule, whether it can match, its languages included."""
 
     def at(line: Column, i: Column) -> Column:
         comment = C.is_comment(line)
@@ -56,7 +56,7 @@ def hits(lines: Column, rules: list[Rule], language: Column | None = None, possi
         for n, r in enumerate(rules):
             text = _joined(lines, i, 0, r.window) if r.window else line
             ok = text.rlike(r.pattern)
-            if r.languages and language is not None:
+            if r.languages and language is not None and possible is None:
                 ok = language.isin(*r.languages) & ok
             if possible is not None:
                 ok = possible[n] & ok
@@ -75,7 +75,8 @@ def scan(docs: DataFrame, rules: list[Rule], key: list[str], text: str = "text",
     """One row per (text, line, rule) that matches: key, line_no (1-based), rule_id, severity, category, confidence, line_text."""
     # rules are tried on whole texts first; only texts and rules that match are looked at by line
     lang = F.col(language) if language else None
-    of = lambda r: lang.isin(*r.languages) & may_match(F.col(text), r) if language and r.languages else may_match(F.col(text), r)
+    spoken = {ls: lang.isin(*ls) for ls in {r.languages for r in rules if r.languages}} if language else {}
+    of = lambda r: spoken[r.languages] & may_match(F.col(text), r) if r.languages in spoken else may_match(F.col(text), r)
     x = docs.select(*key, F.col(text).alias("_text"), *([language] if language and language not in key else []), F.array(*[of(r) for r in rules]).alias("_m"))
     x = x.where(F.array_contains("_m", True)).withColumn("_lines", C.lines(F.col("_text")))
     groups = [(i, rules[i : i + 20]) for i in range(0, len(rules), 20)]
