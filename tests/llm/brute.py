@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -78,6 +79,29 @@ def quality(docs):
     return out
 
 
+def quality_threshold(docs, labels, buckets_of):
+    """The threshold of (doc_id, text) and (doc_id, quality): every labelled document that passes the base rules, its own counts taken out."""
+    size = 10_000
+    good, bad = ({d for d, q in labels if q == y and d is not None} for y in (1, 0))
+    own = [np.bincount(buckets_of(t), minlength=size) for _, t in docs]
+    raw, trusted = sum(own), sum((n for n, (d, _) in zip(own, docs) if d in good), np.zeros(size))
+    scores = {1: [], 0: []}
+    for n, (d, _), base in zip(own, docs, quality(docs)):
+        if base[-1] or d not in good | bad:
+            continue
+        t, r = trusted - n * (d in good), raw - n
+        s = (n * (np.log((t + 1) / (t.sum() + size)) - np.log((r + 1) / (r.sum() + size)))).sum() / n.sum()
+        for y, ids in ((1, good), (0, bad)):
+            scores[y] += [s] * (d in ids)
+    spare = np.quantile(scores[1], 0.01)
+    if not scores[0]:
+        return spare
+    at = sorted({*scores[1], *scores[0]})
+    gain = [np.mean(np.array(scores[0]) < x) - np.mean(np.array(scores[1]) < x) for x in at]
+    best = int(np.argmax(gain))
+    return min(spare, (at[max(best - 1, 0)] + at[best]) / 2)
+
+
 def luhn(s):
     d = [int(c) for c in reversed(s)]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0

@@ -3,6 +3,7 @@
 import itertools
 import zlib
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +225,31 @@ def test_quality_counts_every_trusted_document(spark):
     docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("same"), F.concat(F.lit("w"), F.col("id"))).alias("text"))
     model = quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))
     assert not model.weight.any()  # all text is trusted: both multinomials are one
+
+
+def word_buckets(text):
+    h = [zlib.crc32(w) for w in (text or "").encode().split()]
+    return [x % 10_000 for x in h] + [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 >> 32) % 10_000 for a, b in zip(h, h[1:])]
+
+
+def test_quality_threshold_comes_from_every_labelled_document(spark, monkeypatch):
+    """More labels than a sample of some thousands, long texts, equal texts, ids that repeat or are labelled both ways; broadcast or shuffled."""
+    from loomlint.llm import quality
+
+    rng = np.random.default_rng(3)
+
+    def text(n, share):
+        return " ".join(f"{'good' if own else 'bad'}{w}" for own, w in zip(rng.random(n) < share, rng.integers(0, 400, n)))
+
+    docs = [(i, text(60, 0.9 - 0.4 * (i % 2) * rng.random())) for i in range(6000)]
+    docs += [(7000 + i, text(40_000, 0.3 + 0.1 * i)) for i in range(6)] + [(8000 + i, docs[0][1]) for i in range(50)] + [(3, docs[9][1]), (9000, "too short"), (9001, None), (None, docs[5][1])]
+    assert max(len(t or "") for _, t in docs) > 200_000
+    labels = [(d, 1 - d % 2) for d, _ in docs if d is not None and d < 5500 or d is not None and d >= 7000] + [(11, 1), (None, 1), (None, 0), (5600, None), (10**6, 1)]
+    x, y = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    want = brute.quality_threshold(docs, labels, word_buckets)
+    model = quality.fit(x, y)
+    assert abs(model.threshold - want) < 1e-9
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert quality.fit(x, y).threshold == model.threshold
+    good = [(d, q) for d, q in labels if q == 1]
+    assert abs(quality.fit(x, y.where("quality = 1")).threshold - brute.quality_threshold(docs, good, word_buckets)) < 1e-9
