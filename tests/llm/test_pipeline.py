@@ -1,6 +1,7 @@
 """Stages of the pipeline, each against plain Python on what its predecessor kept."""
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +86,25 @@ def test_short_items_condemn_nothing(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the the of the end"), (2, "long " * 500 + "a whole item of eight words in all"), (3, "nothing here"), (4, None)], "doc_id bigint, text string")
     got = c.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in got) == [1, 3, 4]
+
+
+def test_quality_stage_learns_from_every_labelled_document(spark, tmp_path):
+    """Good documents are all long, so a threshold that leaves long ones out would keep the bad ones."""
+    import random
+
+    import corpus_pipeline as c
+    from test_models import word_buckets
+
+    rng = random.Random(5)
+    text = lambda n, kind: " ".join(f"{kind}{rng.randrange(500)}" for _ in range(n))
+    docs = [(i, text(35_000, "good"), "en", "s", 0) for i in range(4)] + [(10 + i, text(80, "bad"), "en", "s", 0) for i in range(20)] + [(50, text(90, "good"), "en", "s", 0), (51, text(90, "bad"), "en", "s", 0)]
+    assert all(len(t) > 200_000 for _, t, *_ in docs[:4])
+    labels = [(d, int(d < 10), 0) for d, *_ in docs if d < 50]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    threshold = brute.quality_threshold([r[:2] for r in docs], [r[:2] for r in labels], word_buckets)
+    x = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(r["doc_id"] for r in c.quality_rules(spark, x, str(tmp_path)).collect())
+    counts = {d: np.bincount(word_buckets(t), minlength=10_000) for d, t, *_ in docs}
+    raw, trusted = sum(counts.values()), sum(counts[d] for d in range(4))
+    weight = np.log((trusted + 1) / (trusted.sum() + 10_000)) - np.log((raw + 1) / (raw.sum() + 10_000))
+    assert kept == sorted(d for d, n in counts.items() if (weight * n).sum() / n.sum() >= threshold) == [0, 1, 2, 3, 50]
