@@ -27,3 +27,19 @@ def test_code_points_of_odd_texts(spark, tmp_path):
     texts = ["", None, "abc", "ABC 12", "z~", "été", "a​b­", "ok \U0001f600", "\U000e0041ᅟ", "line\nZ", "\x7f", "x﻿ﾠ"]
     rows = [*enumerate(texts), (3, "ü​"), (3, "twice"), (0, "once more"), (1, None), (None, "no id")]
     assert same_as_sql(spark, tmp_path, "q_codepoints", documents=(rows, "doc_id long, text string"))
+
+
+def test_vector_search_meets_in_blocks(spark, tmp_path, monkeypatch):
+    from loomlint.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 40)
+    rng = random.Random(5)
+    some = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(60)]
+    rows = [(i, some[i * i % 60]) for i in range(900)]  # copies everywhere: ties go by match
+    assert len(same_as_sql(spark, tmp_path, "q_cosine_topk", embeddings=(rows, "vec_id long, embedding array<float>"))) == 45
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert similarity.vector_blocks(e.coalesce(1), "vec_id", "embedding", 40).count() == 23  # rows of a join, not 900
+    odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, []), (6, [1.0, 0.1])], "id long, v array<double>")
+    got = similarity.cosine_top(odd.where("id in (0, 2, 5)"), odd, "id", "v", 5, 0.2).collect()
+    assert sorted((r["query"], r["match"], r["rank"]) for r in got) == [(0, 1, 1), (0, 6, 2)]
