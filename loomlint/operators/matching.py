@@ -42,33 +42,62 @@ def merge_bands(static: DataFrame, found: DataFrame, width: int = 3) -> DataFram
     """Static issues merged with a model's issues, greedily in input order within (file, category).
 
     Columns of both: file, category, ord, line, severity, confidence. Greedy
-    assignment depends on all rows before, so a group is one pandas call; a
-    group is the issues of one category in one file. Result: source is static,
-    ai or both; confidences below 0.3 go.
+    assignment depends on all rows before, so a group, the issues of one
+    category in one file, is read in order by one task; tasks read many groups
+    in a stream. What is still open stands in a queue a line, so a row looks at
+    the heads of 2 width + 1 queues, however many rows its group has. Result:
+    source is static, ai or both; confidences below 0.3 go.
     """
-    import pandas as pd
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ai", "ord"])
-        out: list[dict] = []
-        used: set[int] = set()
-        for r in rows.to_dict("records"):
-            if not r["ai"]:
-                out.append({**r, "source": "static"})
-                continue
-            at = next((i for i, x in enumerate(out) if i not in used and abs(x["line"] - r["line"]) <= width), None)
-            if at is None:
-                out.append({**r, "source": "ai", "confidence": (r["confidence"] or 0.7) * 0.8})
-                continue
-            used.add(at)
-            kept = r if RANK.get(r["severity"], 0) > RANK.get(out[at]["severity"], 0) else out[at]
-            out[at] = {**kept, "source": "both", "confidence": min(1.0, (out[at]["confidence"] or 0.9) * 1.05)}
-        frame = pd.DataFrame(out, columns=["file", "category", "ord", "line", "severity", "confidence", "source"])
-        return frame[frame["confidence"].fillna(1.0) >= 0.3]
-
     cols = ["file", "category", "ord", "line", "severity", "confidence"]
+
+    def merge(batches):
+        from collections import deque
+
+        import pyarrow as pa
+
+        schema = pa.schema([("file", pa.string()), ("category", pa.string()), ("ord", pa.int64()), ("line", pa.int64()), ("severity", pa.string()), ("confidence", pa.float64()), ("source", pa.string())])
+        group, queues, unplaced, place, out = None, {}, [], 0, []
+
+        def write():
+            kept = [r for r in out if r[5] is None or not r[5] < 0.3]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema, strict=True)], schema=schema) if kept else None
+
+        def close():
+            out.extend(unplaced)
+            for q in queues.values():
+                out.extend(x for _, x in q)
+
+        for b in batches:
+            for *r, ai in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if r[:2] != group:
+                    close()
+                    group, queues, unplaced, place = r[:2], {}, [], 0
+                line = r[3]
+                heads = [q for at in range(line - width, line + width + 1) if (q := queues.get(at))] if ai and line is not None else None
+                if heads:
+                    q = min(heads, key=lambda q: q[0][0])
+                    x = q.popleft()[1]
+                    kept = r if RANK.get(r[4], 0) > RANK.get(x[4], 0) else x
+                    out.append((*kept[:5], min(1.0, (x[5] or 0.9) * 1.05), "both"))
+                    continue
+                row = (*r[:5], (r[5] or 0.7) * 0.8 if ai else r[5], "ai" if ai else "static")
+                if line is None:
+                    unplaced.append(row)
+                else:
+                    queues.setdefault(line, deque()).append((place, row))
+                place += 1
+            if done := write():
+                yield done
+        close()
+        if done := write():
+            yield done
+
     both = static.select(*cols).withColumn("ai", F.lit(False)).unionByName(found.select(*cols).withColumn("ai", F.lit(True)))
-    return both.groupBy("file", "category").applyInPandas(one, "file string, category string, ord long, line long, severity string, confidence double, source string")
+    confidence = F.when(~F.isnan("confidence"), F.col("confidence"))
+    both = both.select("file", "category", F.col("ord").cast("long"), F.col("line").cast("long"), "severity", confidence.cast("double").alias("confidence"), "ai")
+    both = both.repartition("file", "category").sortWithinPartitions("file", "category", "ai", F.asc_nulls_last("ord"), "line", "severity", "confidence")
+    return both.mapInArrow(merge, "file string, category string, ord long, line long, severity string, confidence double, source string")
 
 
 def in_diff(issues: DataFrame, files: DataFrame) -> DataFrame:

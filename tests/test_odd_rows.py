@@ -43,3 +43,22 @@ def test_vector_search_meets_in_blocks(spark, tmp_path, monkeypatch):
     odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, []), (6, [1.0, 0.1])], "id long, v array<double>")
     got = similarity.cosine_top(odd.where("id in (0, 2, 5)"), odd, "id", "v", 5, 0.2).collect()
     assert sorted((r["query"], r["match"], r["rank"]) for r in got) == [(0, 1, 1), (0, 6, 2)]
+
+
+def test_band_merge_of_one_large_group_is_linear(spark):
+    import time
+
+    from loomlint.operators import matching
+
+    schema = "file string, category string, ord long, line long, severity string, confidence double"
+    n = 60_000  # all in one group, and every found row far from the first static ones
+    static = spark.range(n).selectExpr("'f' as file", "'c' as category", "id as ord", "id * 10 as line", "'low' as severity", "0.5D as confidence")
+    found = spark.range(n).selectExpr("'f' as file", "'c' as category", "id as ord", f"({n} - 1 - id) * 10 + 3 as line", "'high' as severity", "0.9D as confidence")
+    began = time.monotonic()
+    got = matching.merge_bands(static, found).groupBy("source", "severity").count().collect()
+    assert [tuple(r) for r in got] == [("both", "high", n)]
+    assert time.monotonic() - began < 60  # 1.8 billion comparisons if each row looks through its group
+    odd = [("f", None, 1, None, "low", None), ("f", None, 2, 7, "low", 0.0), (None, "c", 3, 7, "low", 0.2)]
+    got = matching.merge_bands(spark.createDataFrame(odd, schema), spark.createDataFrame(odd, schema)).collect()
+    plain = sorted(((r["ord"], r["line"], r["source"], None if r["confidence"] is None else round(r["confidence"], 6)) for r in got), key=str)
+    assert plain == [(1, None, "ai", 0.56), (1, None, "static", None), (2, 7, "both", 0.945)]
