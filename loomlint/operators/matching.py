@@ -139,19 +139,45 @@ def chain_depths(edges: DataFrame, node: str, parent: str, rounds: int = 64) ->
 def near_equal_rows(docs: DataFrame, scope: list[str], key: str, items: Column, share: float = 0.8, least: int = 3) -> DataFrame:
     """Pairs of rows of a scope whose arrays agree at ``share`` of the places of the longer one.
 
-    If the longer array has m places, at most (1 - share) m differ, so the
-    first floor((1 - share) m) + 1 hold an equal one: only those places are
-    joined on. ``items``: array of comparable values.
+    Equal arrays are compared once and their rows paired at the end. If the
+    longer array has m places, at most d = (1 - share) m differ, so of d + 1
+    sets of places one is equal throughout: rows join on whole sets, each every
+    (d + 1)-th place. Sets are laid out by classes of m. Items are compared by
+    128-bit hashes, so no text is shuffled. ``items``: array of strings, none null.
     """
+    from ..storage import save
+
+    starts = [least]  # of the classes: one length each up to 16, then a quarter wide
+    while starts[-1] < 1 << 31:
+        starts.append(starts[-1] + 1 if starts[-1] < 16 else starts[-1] * 5 // 4)
+    fixed = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    class_of = lambda n: F.size(F.filter(fixed(starts), lambda b: b <= n))
+    sets = [int((1 - share) * (b - 1) + 1e-9) + 1 for b in starts[1:]]
+
     x = docs.select(*scope, key, items.alias("_v")).where(F.size("_v") >= least)
-    places = F.floor(F.size("_v") / share * (1 - share) + 1e-9).cast("int") + 1
-    keyed = x.select(*scope, key, F.size("_v").alias("_n"), F.posexplode(F.transform(F.slice("_v", F.lit(1), places), lambda v: F.xxhash64(v))).alias("_p", "_h"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*scope, "_p", "_h"]]
+    x = x.select(*scope, key, F.transform("_v", lambda v: F.unhex(F.md5(v.cast("binary")))).alias("_h"))
+    named = F.concat(F.to_json(F.array(*[F.col(c).cast("string") for c in scope])), F.array_join(F.transform("_h", lambda h: F.hex(h)), ""))
+    x = save(x.select(*scope, key, "_h", F.unhex(F.md5(named.cast("binary"))).alias("_g")), "items")
+
+    one = x.dropDuplicates(["_g"]).withColumn("_n", F.size("_h"))
+    y = one.withColumn("_c", F.explode(F.sequence(class_of(F.col("_n")), class_of(F.floor(F.col("_n") / share + 1e-9)))))
+    y = y.withColumns({"_from": F.element_at(fixed(starts), F.col("_c")), "_sets": F.element_at(fixed(sets), F.col("_c"))})
+    whole = lambda s: s + F.floor((F.col("_from") - 1 - s) / F.col("_sets")) * F.col("_sets") < F.col("_n")
+    y = y.withColumn("_s", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("_sets") - 1), whole)))
+    places = F.transform(F.sequence("_s", F.col("_from") - 1, F.col("_sets")), lambda p: F.get("_h", p.cast("int")))
+    y = y.select(F.xxhash64(*scope, "_c", "_s", places).alias("_k"), "_g", "_n", "_c")
+
+    a, b = y.alias("a"), y.alias("b")
     long_, short = F.greatest("a._n", "b._n"), F.least("a._n", "b._n")
-    pairs = a.join(b, [*on, F.col(f"a.{key}") < F.col(f"b.{key}"), short >= share * long_]).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
-    v = x.select(key, "_v")
-    both = pairs.join(v.select(F.col(key).alias("a"), F.col("_v").alias("_va")), "a").join(v.select(F.col(key).alias("b"), F.col("_v").alias("_vb")), "b")
-    equal = F.size(F.filter(F.zip_with("_va", "_vb", lambda p, q: p == q), lambda e: e))
-    both = both.withColumn("similarity", equal / F.greatest(F.size("_va"), F.size("_vb")))
-    return both.where(F.col("similarity") >= share).select("a", "b", "similarity")
+    met = a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a._c") == F.col("b._c")) & (F.col("a._g") < F.col("b._g")) & (short >= share * long_))
+    met = met.select(F.col("a._g").alias("_ga"), F.col("b._g").alias("_gb")).distinct()
+    side = lambda g, h, scoped: one.select(F.col("_g").alias(g), F.col("_h").alias(h), F.struct(*scope).alias(scoped))
+    both = met.join(side("_ga", "_ha", "_sa"), "_ga").join(side("_gb", "_hb", "_sb"), "_gb").where(F.col("_sa").eqNullSafe(F.col("_sb")))
+    equal = F.size(F.filter(F.zip_with("_ha", "_hb", lambda p, q: p == q), lambda e: e))
+    near = both.select("_ga", "_gb", (equal / F.greatest(F.size("_ha"), F.size("_hb"))).alias("similarity")).where(F.col("similarity") >= share)
+
+    rows = lambda g, k: x.select(F.col("_g").alias(g), F.col(key).alias(k))
+    near = near.join(rows("_ga", "_ka"), "_ga").join(rows("_gb", "_kb"), "_gb").where("_ka <> _kb")
+    near = near.select(F.least("_ka", "_kb").alias("a"), F.greatest("_ka", "_kb").alias("b"), "similarity")
+    same = rows("_g", "a").join(rows("_g", "b"), "_g").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return near.unionByName(same)

@@ -62,3 +62,16 @@ def test_band_merge_of_one_large_group_is_linear(spark):
     got = matching.merge_bands(spark.createDataFrame(odd, schema), spark.createDataFrame(odd, schema)).collect()
     plain = sorted(((r["ord"], r["line"], r["source"], None if r["confidence"] is None else round(r["confidence"], 6)) for r in got), key=str)
     assert plain == [(1, None, "ai", 0.56), (1, None, "static", None), (2, 7, "both", 0.945)]
+
+
+def test_near_equal_texts_are_all_found(spark, tmp_path):
+    rng = random.Random(11)
+    texts = []
+    for n in [1, 2, 3, 4, 5, 6, 9, 10, 11, 16, 17, 20, 25, 26, 40, 77]:
+        base = [rng.choice(["", "same", f"line {i}"]) for i in range(n)]
+        for _ in range(9):
+            v = [x if rng.random() > 0.1 else f"other {rng.random()}" for x in base]
+            cut = rng.choice([0, 0, 1, n // 5])
+            texts.append("\n".join(v[: n - cut] if rng.random() < 0.5 else v + ["more"] * cut))
+    rows = [(i % 400, t, s) for i, t in enumerate(texts + texts[:90]) for s in [rng.choice(["s", "t", None])]]
+    assert len(same_as_sql(spark, tmp_path, "q_body_similarity", documents=(rows, "doc_id long, text string, source string"))) > 100
