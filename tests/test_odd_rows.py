@@ -75,3 +75,16 @@ def test_near_equal_texts_are_all_found(spark, tmp_path):
             texts.append("\n".join(v[: n - cut] if rng.random() < 0.5 else v + ["more"] * cut))
     rows = [(i % 400, t, s) for i, t in enumerate(texts + texts[:90]) for s in [rng.choice(["s", "t", None])]]
     assert len(same_as_sql(spark, tmp_path, "q_body_similarity", documents=(rows, "doc_id long, text string, source string"))) > 100
+
+
+def test_recall_by_matrix_and_by_joins(spark, tmp_path, monkeypatch):
+    from loomlint.operators import similarity
+
+    rng = random.Random(2)
+    words = [f"w{i}ord" for i in range(60)]
+    text = lambda: " ".join(rng.choice(words[: rng.choice([5, 60])]) for _ in range(12))
+    docs = [*((i % 70, text()) for i in range(80)), (90, ""), (91, None), (92, "! ?")]
+    tables = {"documents": (docs, "doc_id long, text string"), "benchmark": ([*((i, text()) for i in range(9)), (20, "")], "item_id long, text string")}
+    assert same_as_sql(spark, tmp_path, "q_embedding_recall", **tables)
+    monkeypatch.setattr(similarity, "DENSE_CELLS", 0)
+    assert same_as_sql(spark, tmp_path, "q_embedding_recall", **tables)
